@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.semantics import FLOATING, NUMERIC, WHOLE, as_col, differs, pair_corr, skew_g1
-from .tables import rows_if_small
+from .tables import SizedTable, rows_if_small
 
 SIX = ("mean", "std", "min", "max", "sum", "nunique")
 MAX_LEVELS = 10_000
@@ -164,6 +164,33 @@ def label_rate(df: DataFrame, level: str, target: str, labelled_only: bool = Fal
     return df.where(as_col(level).isNotNull()).groupBy(as_col(level)).agg(rate.alias(name))
 
 
+def keyed_label_rates(rows: DataFrame, key: str, columns: list[str], target: DataFrame, label: str, labelled_only: bool = False) -> SizedTable:
+    """(column, level, rate) for several columns of a child table whose label hangs on the key.
+
+    Rows are counted per (key, column, level) before they meet the labels, so a key with
+    many rows joins as a few.
+    """
+    entries = [F.struct(F.lit(c).alias("column"), as_col(c).cast("string").alias("level")) for c in columns]
+    narrow = rows.select(as_col(key), F.inline(F.array(*entries))).where(F.col("level").isNotNull())
+    counted = narrow.groupBy(as_col(key), "column", "level").agg(F.count(F.lit(1)).alias("n"))
+    joined = counted.join(target.select(as_col(key), as_col(label).cast("double").alias("y")), key, "left")
+    over = F.sum(F.when(F.col("y").isNotNull(), F.col("n"))) if labelled_only else F.sum("n")
+    rate = F.try_divide(F.coalesce(F.sum(F.col("y") * F.col("n")), F.lit(0.0)), over.cast("double"))
+    return SizedTable.of(joined.groupBy("column", "level").agg(rate.alias("rate")))
+
+
+def with_label_rates(df: DataFrame, rates: SizedTable, columns: list[str], suffix: str = "_TgtAvg") -> DataFrame:
+    """Each column's label rate beside it; levels without one get NULL."""
+    for c in columns:
+        if rates.small:
+            rows = [(r["level"], r["rate"]) for r in rates.rows if r["column"] == c]
+            part = SizedTable.from_rows(df.sparkSession, rows, "level string, rate double")
+        else:
+            part = SizedTable(rates.df.where(F.col("column") == c).drop("column"), None)
+        df = part.lookup(df, {c: "level"}, {"rate": c + suffix})
+    return df
+
+
 def crosstab_shares(df: DataFrame, a: str, b: str, levels: list | None = None) -> DataFrame:
     """Share of each level of b within each level of a."""
     rows = df.where(as_col(a).isNotNull() & as_col(b).isNotNull())

@@ -220,6 +220,23 @@ class OrderedGroups:
         return parts.select(*[as_col(k) for k in self.keys if k != "__all"], *[slope(n).alias(n) for n in columns])
 
 
+def slope_over(position: Column | str, y: Column | str) -> Column:
+    """The slope of ``OrderedGroups.trend`` as an aggregate, from positions already on the rows."""
+    x, y = as_col(position).cast("double"), as_col(y).cast("double")
+    n = F.count(F.lit(1)).cast("double")
+    value = F.try_divide(F.sum(x * y) - (n - 1) / 2 * F.sum(y), n * (n * n - 1) / 12)
+    return F.when(F.count(y) < n, F.lit(None)).when(n == 1, F.lit(0.0)).otherwise(value)
+
+
+def colocated(df: DataFrame, key: str, sizes: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """Rows brought together by key once, for all windows and aggregates that follow.
+
+    With a hot key the rows stay where they are, and each operator splits the key itself.
+    """
+    hot = HotKeys.find(sizes, [key], sizes.columns[-1], rows_per_task)
+    return df if hot else df.repartition(as_col(key))
+
+
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, rank: str = "__rank") -> DataFrame:
     """The first n rows of each key in the given order, ranked from 1.
 

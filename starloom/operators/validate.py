@@ -105,24 +105,27 @@ def cross_validate(
     Folds are a column of one written table; a few driver threads overlap their jobs.
     """
     if rolling:
-        placed = rolling_folds(df, *rolling).withColumn("mcSeed", F.lit(0))
-        placed = placed.drop("position")
+        order, train_rows, test_rows = rolling
+        placed = materialise(rolling_positions(df, order, "__at").withColumn("mcSeed", F.lit(0)))
+        folds = [(0, f) for f in range(max(0, (placed.count() - train_rows) // test_rows))]
     else:
-        placed = repeated_folds(df, key, k, list(seeds), label if stratified else None)
-        placed = placed.withColumn("part", F.lit("test"))
-    placed = materialise(placed)
-    folds = [tuple(r) for r in placed.where("part = 'test'").select("mcSeed", "foldId").distinct().orderBy("mcSeed", "foldId").collect()]
+        placed = materialise(repeated_folds(df, key, k, list(seeds), label if stratified else None))
+        folds = [(seed, i * k + f) for i, seed in enumerate(seeds) for f in range(k)]
+
+    def split(seed, fold):
+        here = placed.where(F.col("mcSeed") == seed)
+        if not rolling:
+            return here.where(F.col("foldId") != fold), here.where(F.col("foldId") == fold)
+        start, at = fold * test_rows, F.col("__at")
+        middle = start + train_rows
+        here = here.withColumn("foldId", F.lit(fold))
+        return here.where((at >= start) & (at < middle)), here.where((at >= middle) & (at < middle + test_rows))
 
     def run(task):
         name, (seed, fold) = task
-        here = placed.where(F.col("mcSeed") == seed)
-        test = here.where((F.col("foldId") == fold) & (F.col("part") == "test"))
-        if rolling:
-            train = here.where((F.col("foldId") == fold) & (F.col("part") == "train"))
-        else:
-            train = here.where(F.col("foldId") != fold)
-        model = models[name].fit(train.drop("mcSeed", "foldId", "part"))
-        scored = model.transform(test.drop("part"))
+        train, test = split(seed, fold)
+        model = models[name].fit(train.drop("mcSeed", "foldId", "__at"))
+        scored = model.transform(test)
         iterations = next((s.state["rounds"] for s in getattr(model, "stages", [model]) if "rounds" in getattr(s, "state", {})), None)
         out = scored.select(
             F.lit(name).alias("modelName"), "mcSeed", "foldId", as_col(key), as_col(label).cast("double").alias("label"), "prediction"
