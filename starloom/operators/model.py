@@ -93,7 +93,7 @@ class BoostedTrees(FeatureStage):
             state["history"], state["rounds"] = mean, best_round(mean, c["patience"])
             model = self._trees(state["rounds"]).fit(vectors)
         elif c["select_rounds"] == "holdout":
-            trees = self._trees(c["rounds"]).setValidationIndicatorCol("held").setValidationTol(0.0)
+            trees = self._trees(c["rounds"]).setParams(validationIndicatorCol="held", validationTol=0.0)
             model = trees.fit(vectors)
             state["rounds"] = len(model.trees)
         else:

@@ -275,7 +275,7 @@ def cumulative_levels(df: DataFrame, column: str, rows_per_task: int | None = No
     counts = df.where(as_col(column).isNotNull()).groupBy(as_col(column).alias("level")).agg(F.count(F.lit(1)).alias("n"))
     run = OrderedGroups(counts, [], ["-n", "level"], rows_per_task).running_sum({"running": F.col("n")})
     total = df.agg(F.count(as_col(column))).first()[0]
-    return run.withColumn("total", F.lit(total))
+    return run.withColumn("total", F.lit(total).cast("long"))
 
 
 def hash_ordered_position(df: DataFrame, groups: list[str], hash_col: str, name: str) -> DataFrame:

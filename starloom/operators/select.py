@@ -186,7 +186,7 @@ class ImportanceSelect(FeatureStage):
 
         cfg = dict(self.config)
         label, threshold, columns = cfg.pop("label"), cfg.pop("threshold"), cfg.pop("columns")
-        columns = columns or [c for c in numeric_columns(dataset) if c != label]
+        columns = columns or [c for c in numeric_columns(dataset) if c not in (label, cfg.get("key"))]
         model = BoostedTrees(label=label, columns=columns, select_rounds="none", **cfg).fit(dataset)
         ranked = model.importance_rows()
         kept = [r[0] for r in ranked[: int(len(columns) * threshold)]]

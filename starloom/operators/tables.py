@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import as_col
@@ -132,11 +132,8 @@ def spread_join(df: DataFrame, table: DataFrame, keys: list[str], values: list[s
     return out.select(*[as_col(c) for c in df.columns], *merged)
 
 
-def attach_group_values(
-    df: DataFrame, keys: list[str], aggregates: list[Column], rows_per_task: int | None = None
-) -> DataFrame:
-    """Aggregates of each key's group written on every row of the group (NULL keys get NULL)."""
-    stats = df.groupBy(*[as_col(k) for k in keys]).agg(*aggregates)
+def attach_group_values(df: DataFrame, keys: list[str], stats: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """Values of a one-row-per-key table written on every row of the key (NULL keys get NULL)."""
     values = [c for c in stats.columns if c not in keys]
     hot = HotKeys.find(group_sizes(df, keys), keys, "__rows", rows_per_task)
     return spread_join(df, stats, keys, values, hot)
