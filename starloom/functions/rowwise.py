@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .semantics import as_col
+from .sqltext import name
 
 
 def null_count(columns) -> Column:
     """How many of the columns are NULL in this row."""
-    return reduce(lambda a, b: a + b, [as_col(c).isNull().cast("int") for c in columns], F.lit(0))
+    return F.expr(" + ".join(["0"] + [f"CAST({name(c)} IS NULL AS INT)" for c in columns]))
 
 
 def row_sum(columns) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.semantics import FLOATING, NUMERIC, WHOLE, as_col, differs, pair_corr, skew_g1
+from ..functions.sqltext import literal, name, named
 from .tables import SizedTable, rows_if_small
 
 SIX = ("mean", "std", "min", "max", "sum", "nunique")
@@ -43,12 +44,10 @@ def long_values(df: DataFrame, columns: list[str], keep: list[str] = ()) -> Data
     fields = dict(sorted(set(kinds.values())))
     entries = []
     for i, c in enumerate(columns):
-        values = [
-            (as_col(c).cast(sql) if kinds[c][0] == f else F.lit(None).cast(sql)).alias(f"__{f}") for f, sql in fields.items()
-        ]
-        entries.append(F.struct(F.lit(i).alias("__f"), *values))
-    out = df.select(*[as_col(k) for k in keep], F.inline(F.array(*entries)))
-    return out.where(reduce(lambda a, b: a | b, [F.col(f"__{f}").isNotNull() for f in fields]))
+        values = [f"CAST({name(c) if kinds[c][0] == f else 'NULL'} AS {sql}) AS __{f}" for f, sql in fields.items()]
+        entries.append(f"struct({i} AS __f, {', '.join(values)})")
+    out = df.selectExpr(*map(name, keep), f"inline(array({', '.join(entries)}))")
+    return out.where(" OR ".join(f"__{f} IS NOT NULL" for f in fields))
 
 
 def distinct_counts(df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_nunique") -> DataFrame:
@@ -58,26 +57,38 @@ def distinct_counts(df: DataFrame, keys: list[str], columns: list[str], suffix:
     shuffle and counted afterwards, so neither one key's values nor one copy of the
     row per column ever gather in a task.
     """
-    narrow = long_values(df, columns, keys)
-    values = [c for c in narrow.columns if c not in keys]
-    unique = narrow.select(*[as_col(k) for k in keys], *values).distinct()
-    counts = [F.count(F.when(F.col("__f") == i, 1)).alias(c + suffix) for i, c in enumerate(columns)]
-    return unique.groupBy(*[as_col(k) for k in keys]).agg(*counts)
+    unique = long_values(df, columns, keys).distinct()
+    counts = {c + suffix: f"count(CASE WHEN __f = {i} THEN 1 END)" for i, c in enumerate(columns)}
+    return grouped(unique, keys, counts)
+
+
+def grouped(df: DataFrame, keys: list[str], expressions: dict[str, str], extra: list[Column] = ()) -> DataFrame:
+    """Aggregates given as SQL text (and further ones as columns) per key, in one step."""
+    if not expressions:
+        return df.groupBy(*map(as_col, keys)).agg(*extra)
+    wide = F.expr(f"struct({', '.join(named(expressions))})").alias("__wide")
+    out = df.groupBy(*map(as_col, keys)).agg(wide, *extra)
+    rest = [c for c in out.columns if c not in keys and c != "__wide"]
+    return out.selectExpr(*map(name, keys), "__wide.*", *map(name, rest))
+
+
+def whole_table(df: DataFrame, expressions: dict[str, str]) -> dict:
+    """Aggregates of the whole table, fetched as one row."""
+    return df.selectExpr(*named(expressions)).first().asDict() if expressions else {}
 
 
 # -- per key --------------------------------------------------------------------
 
 
-def stat_expression(c: str, stat: str) -> Column:
-    x = as_col(c)
-    return {
-        "mean": lambda: F.avg(x),
-        "std": lambda: F.stddev_samp(x),
-        "min": lambda: F.min(x),
-        "max": lambda: F.max(x),
-        "sum": lambda: F.coalesce(F.sum(x), F.lit(0)),
-        "count": lambda: F.count(x),
-    }[stat]()
+# SQL of each statistic.
+STATISTICS = {
+    "mean": "avg({})",
+    "std": "stddev_samp({})",
+    "min": "min({})",
+    "max": "max({})",
+    "sum": "coalesce(sum({}), 0)",
+    "count": "count({})",
+}
 
 
 def bulk_stats(
@@ -96,18 +107,19 @@ def bulk_stats(
     """
     columns = numeric_columns(df, keys) if columns is None else list(columns)
     rows = df.where(reduce(lambda a, b: a & b, [as_col(k).isNotNull() for k in keys]))
-    plain = [stat_expression(c, s).alias(f"{c}_{s}") for c in columns for s in stats if s != "nunique"]
-    by = [as_col(k) for k in keys]
+    plain = {f"{c}_{s}": STATISTICS[s].format(name(c)) for c in columns for s in stats if s != "nunique"}
     counted = ([*columns] if "nunique" in stats else []) + list(distinct_only)
-    out = rows.groupBy(*by).agg(*(plain + list(extra) or [F.count(F.lit(1)).alias("__n")]))
+    if not plain and not extra:
+        plain = {"__n": "count(1)"}
+    out = grouped(rows, keys, plain, extra)
     if counted:
-        distinct = distinct_counts(rows, keys, counted)
-        out = out.join(distinct, keys, "left")
+        out = out.join(distinct_counts(rows, keys, counted), keys, "left")
     order = [f"{c}_{s}" for c in columns for s in stats] + [f"{c}_nunique" for c in distinct_only]
-    rest = [c for c in out.columns if c not in order and c not in keys and c != "__n"]
+    known = {*order, *keys, "__n"}
+    rest = [c for c in out.columns if c not in known]
     counts = {f"{c}_nunique" for c in counted}
-    picked = [F.coalesce(as_col(c), F.lit(0)) if c in counts else as_col(c) for c in order + rest]
-    return out.select(*by, *[p.alias(prefix + c) for p, c in zip(picked, order + rest)])
+    picked = {prefix + c: f"coalesce({name(c)}, 0L)" if c in counts else name(c) for c in order + rest}
+    return out.selectExpr(*map(name, keys), *named(picked))
 
 
 def distinct_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
@@ -122,8 +134,8 @@ def level_counts(column: str, levels: list, prefix: str, absent) -> list[Column]
     """One count per level, for use inside any aggregate."""
     out = []
     for level in levels:
-        n = F.count(F.when(as_col(column) == F.lit(level), 1))
-        out.append((F.when(n > 0, n) if absent is None else n).alias(f"{prefix}{level}"))
+        n = f"count(CASE WHEN {name(column)} = {literal(level)} THEN 1 END)"
+        out.append(F.expr(n if absent is not None else f"nullif({n}, 0)").alias(f"{prefix}{level}"))
     return out
 
 
@@ -157,11 +169,11 @@ def share_where_differs(c: Column | str, value) -> Column:
     return F.avg(differs(c, value))
 
 
-def label_rate(df: DataFrame, level: str, target: str, labelled_only: bool = False, name: str = "rate") -> DataFrame:
+def label_rate(df: DataFrame, level: str, target: str, labelled_only: bool = False, out: str = "rate") -> DataFrame:
     """Sum of the label over the rows of each level; unlabelled rows count unless told otherwise."""
     rows = F.count(as_col(target)) if labelled_only else F.count(F.lit(1))
     rate = F.try_divide(F.coalesce(F.sum(as_col(target)).cast("double"), F.lit(0.0)), rows)
-    return df.where(as_col(level).isNotNull()).groupBy(as_col(level)).agg(rate.alias(name))
+    return df.where(as_col(level).isNotNull()).groupBy(as_col(level)).agg(rate.alias(out))
 
 
 def keyed_label_rates(rows: DataFrame, key: str, columns: list[str], target: DataFrame, label: str, labelled_only: bool = False) -> SizedTable:
@@ -233,8 +245,8 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approximate:
     if not approximate:
         narrow = long_values(df, columns).distinct()
         per = narrow.groupBy("__f").agg(F.count(F.lit(1)).alias("nb_distinct"))
-        name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__f") + 1)
-        out = out.join(F.broadcast(per.select(name.alias("feature"), "nb_distinct")), "feature", "left")
+        feature = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__f") + 1)
+        out = out.join(F.broadcast(per.select(feature.alias("feature"), "nb_distinct")), "feature", "left")
         out = out.fillna({"nb_distinct": 0})
     return out.select(
         "feature",
@@ -298,7 +310,7 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]
         gaps = following
     out = {}
     for c in columns:
-        middle = [v for (name, _), v in found.items() if name == c]
+        middle = [v for (column, _), v in found.items() if column == c]
         out[c] = sum(middle) / len(middle) if middle else None
     return out
 
@@ -322,9 +334,9 @@ def correlated_pairs(df: DataFrame, columns: list[str], over: float) -> DataFram
 def log_effect(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Correlation of each column with the target, before and after log(1+x)."""
 
-    def side(name, make):
-        row = df.agg(*[pair_corr(make(c), target).alias(f"{name}__{i}") for i, c in enumerate(columns)])
-        return unpivot_row(row, columns, [name], {name: "double"})
+    def side(stat, make):
+        row = df.agg(*[pair_corr(make(c), target).alias(f"{stat}__{i}") for i, c in enumerate(columns)])
+        return unpivot_row(row, columns, [stat], {stat: "double"})
 
     plain = side("correlation", as_col)
     logged = side("log_correlation", lambda c: F.log1p(as_col(c)))

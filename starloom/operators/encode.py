@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import sqltext
 from ..functions.semantics import as_col, flag
 from .aggregate import MAX_LEVELS
 from .ordered import OrderedGroups
@@ -113,19 +114,17 @@ def ordinal_codes(levels: DataFrame) -> SizedTable:
     if rows is None:
         coded = OrderedGroups(levels.select("level"), [], ["level"]).position("code")
         return SizedTable(materialise(coded), None)
-    names = sorted((r[0] for r in rows), key=lambda v: v.encode())
+    names = _sorted(r[0] for r in rows)
     return SizedTable.from_rows(spark, [(v, i) for i, v in enumerate(names)], "level string, code bigint")
 
 
 def kept_levels(levels: DataFrame, threshold: int | float) -> DataFrame:
     """Levels a Grouping keeps: the most frequent, ties in level order."""
-    if isinstance(threshold, int) and threshold >= 2:
+    if check_threshold(threshold):
         return levels.orderBy(F.desc("n"), "level").limit(threshold)
-    if isinstance(threshold, float) and 0 < threshold < 1:
-        total = levels.agg(F.sum("n")).first()[0] or 0
-        run = OrderedGroups(levels, [], ["-n", "level"]).running_sum({"running": F.col("n")})
-        return run.where(F.col("running") < F.lit(float(threshold)) * F.lit(total)).drop("running")
-    raise ValueError("threshold is a whole number from 2 or a share between 0 and 1")
+    total = levels.agg(F.sum("n")).first()[0] or 0
+    run = OrderedGroups(levels, [], ["-n", "level"]).running_sum({"running": F.col("n")})
+    return run.where(F.col("running") < F.lit(float(threshold)) * F.lit(total)).drop("running")
 
 
 def unseen_levels(new: DataFrame, fitted: DataFrame, column: str) -> DataFrame:
@@ -158,20 +157,72 @@ class CategoricalEncoder(FeatureStage):
         spark = dataset.sparkSession
         stats = level_statistics(dataset, columns, cfg["label"], cfg["missing"])
         table = SizedTable.of(stats, BROADCAST_ROWS)
-        per_column = {}
-        for i, c in enumerate(columns):
-            if table.small:
-                rows = [r[1:] for r in map(tuple, table.rows) if r[0] == i]
-                per_column[c] = spark.createDataFrame(rows, "level string, n bigint, labelled bigint, label_sum double")
-            else:
-                per_column[c] = table.df.where(F.col("column") == i).drop("column")
         state, tables = {"plans": []}, {}
+        by_column: dict[int, list] = {}
+        for r in table.rows or []:
+            by_column.setdefault(r[0], []).append(tuple(r)[1:])
         for i, (c, spec) in enumerate(zip(cfg["columns"], cfg["encoders"])):
-            state["plans"].append(_fit_one(_from_json(spec), per_column[c], f"t{i}", tables))
+            at = columns.index(c)
+            if table.small:
+                fitted = _fit_rows(_from_json(spec), by_column.get(at, []), f"t{i}", tables, spark)
+            else:
+                levels = table.df.where(F.col("column") == at).drop("column")
+                fitted = _fit_levels(_from_json(spec), levels, f"t{i}", tables)
+            state["plans"].append(fitted)
         return CategoricalEncoderModel(cfg, state, tables)
 
 
-def _fit_one(encoder, levels: DataFrame, name: str, tables: dict[str, SizedTable]) -> dict:
+def _sorted(levels) -> list[str]:
+    return sorted(levels, key=lambda v: v.encode())
+
+
+def _fit_rows(encoder, rows: list[tuple], name: str, tables: dict[str, SizedTable], spark) -> dict:
+    """What an encoder learns from (level, n, labelled, label_sum) rows on the driver."""
+    plan = {}
+    if isinstance(encoder, Grouping):
+        kept, running = set(), 0
+        total, few = sum(r[1] for r in rows), check_threshold(encoder.threshold)
+        for i, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0].encode()))):
+            running += r[1]
+            if i < encoder.threshold if few else running < encoder.threshold * total:
+                kept.add(r[0])
+        tables[f"{name}_kept"] = SizedTable.from_rows(spark, [(v, v) for v in _sorted(kept)], "level string, kept string")
+        merged: dict[str, tuple] = {}
+        for level, *values in rows:
+            to = level if level in kept else encoder.other
+            merged[to] = tuple((a or 0) + (b or 0) for a, b in zip(merged.get(to, (0, 0, 0)), values))
+        rows, encoder = [(level, *v) for level, v in merged.items()], encoder.inner
+    levels = _sorted(r[0] for r in rows)
+    if isinstance(encoder, Ordinal):
+        codes = [(str(k), int(v)) for k, v in encoder.mapping.items()] if encoder.mapping is not None else [(v, i) for i, v in enumerate(levels)]
+        tables[name] = SizedTable.from_rows(spark, codes, "level string, code bigint")
+    elif isinstance(encoder, OneHot):
+        check_levels(len(levels))
+        plan["levels"] = levels
+    else:
+        labelled = sum(r[2] for r in rows)
+        plan["mean"] = sum(r[3] or 0.0 for r in rows) / labelled if labelled else None
+        sums = [(r[0], r[2], float(r[3])) for r in rows if r[2] > 0]
+        tables[name] = SizedTable.from_rows(spark, sums, "level string, labelled bigint, label_sum double")
+    return plan
+
+
+def check_levels(n: int) -> None:
+    if n > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels cannot become columns")
+
+
+def check_threshold(threshold: int | float) -> bool:
+    """True for a number of levels, False for a share of rows."""
+    if isinstance(threshold, int) and threshold >= 2:
+        return True
+    if isinstance(threshold, float) and 0 < threshold < 1:
+        return False
+    raise ValueError("threshold is a whole number from 2 or a share between 0 and 1")
+
+
+def _fit_levels(encoder, levels: DataFrame, name: str, tables: dict[str, SizedTable]) -> dict:
+    """The same from a level table too large for the driver."""
     plan = {}
     if isinstance(encoder, Grouping):
         kept = SizedTable.of(kept_levels(levels, encoder.threshold).select("level", F.col("level").alias("kept")))
@@ -180,7 +231,6 @@ def _fit_one(encoder, levels: DataFrame, name: str, tables: dict[str, SizedTable
         merged = kept.lookup(levels, {"level": "level"}, {"kept": "kept"}).select(to, "n", "labelled", "label_sum")
         sums = [F.sum(v).alias(v) for v in ("n", "labelled", "label_sum")]
         levels, encoder = merged.groupBy("level").agg(*sums), encoder.inner
-        plan["grouped"] = True
     if isinstance(encoder, Ordinal):
         if encoder.mapping is not None:
             rows = [(str(k), int(v)) for k, v in encoder.mapping.items()]
@@ -189,9 +239,8 @@ def _fit_one(encoder, levels: DataFrame, name: str, tables: dict[str, SizedTable
             tables[name] = ordinal_codes(levels)
     elif isinstance(encoder, OneHot):
         found = rows_if_small(levels.select("level"), MAX_LEVELS)
-        if found is None:
-            raise ValueError(f"more than {MAX_LEVELS} levels cannot become columns")
-        plan["levels"] = sorted((r[0] for r in found), key=lambda v: v.encode())
+        check_levels(MAX_LEVELS + 1 if found is None else len(found))
+        plan["levels"] = _sorted(r[0] for r in found)
     else:
         total = levels.agg(F.sum("label_sum"), F.sum("labelled")).first()
         plan["mean"] = total[0] / total[1] if total[1] else None
@@ -218,7 +267,7 @@ class CategoricalEncoderModel(FittedStage):
             df, new = self._encode_one(df, c, encoder, plan, f"t{i}", training)
             added += new
         keep = [c for c in originals if not (cfg["drop_inputs"] and c in cfg["columns"])]
-        return df.select(*[as_col(c) for c in keep + added])
+        return df.selectExpr(*map(sqltext.name, keep + added))
 
     def _encode_one(self, df, c, encoder, plan, name, training):
         outer, source = encoder, c
@@ -233,8 +282,8 @@ class CategoricalEncoderModel(FittedStage):
             if len(levels) <= 2:
                 hit = flag(as_col(source) == F.lit(levels[1])) if len(levels) == 2 else F.lit(0)
                 return df.withColumn(out, hit), [out]
-            cols = {f"{c}_{v}": flag(as_col(source) == F.lit(v)) for v in levels}
-            return df.withColumns(cols), list(cols)
+            cols = {f"{c}_{v}": sqltext.flag(f"{sqltext.name(source)} = {sqltext.literal(v)}") for v in levels}
+            return df.selectExpr("*", *sqltext.named(cols)), list(cols)
         if isinstance(encoder, Ordinal):
             return self.tables[name].lookup(df, {source: "level"}, {"code": out}), [out]
         values = {"labelled": f"__n_{name}", "label_sum": f"__s_{name}"}

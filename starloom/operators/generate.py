@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqltext
 from ..functions.dates import calendar_parts, diff_seconds
-from ..functions.semantics import as_col, log1p_or_null, ratio, signed_log, skew_g1, sqrt_or_null
+from ..functions.semantics import as_col, log1p_or_null, ratio, sqrt_or_null
 from ..functions.text import joined_text, special_chars, text_counts
-from .aggregate import distinct_counts, numeric_columns
+from .aggregate import distinct_counts, numeric_columns, whole_table
 from .stage import FeatureStage, FittedStage, PlainStage
 
 
@@ -132,10 +133,11 @@ class SkewLog(FeatureStage):
             return SkewLogModel(cfg, {"columns": []})
         levels = distinct_counts(dataset, [], columns, "").first()
         many = [c for c in columns if levels[c] >= cfg["min_distinct"]]
-        row = dataset.agg(F.lit(0), *[skew_g1(as_col(c).cast("double")).alias(c) for c in many]).first()
+        row = whole_table(dataset, {c: sqltext.skew_g1(f"CAST({sqltext.name(c)} AS DOUBLE)") for c in many})
         return SkewLogModel(cfg, {"columns": [c for c in many if row[c] is not None and abs(row[c]) > cfg["threshold"]]})
 
 
 class SkewLogModel(FittedStage):
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumns({c: signed_log(c) for c in self.state["columns"]})
+        new = {c: sqltext.signed_log(sqltext.name(c)) for c in self.state["columns"]}
+        return dataset.selectExpr(*sqltext.named({c: new.get(c, sqltext.name(c)) for c in dataset.columns}))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.semantics import FLOATING, as_col, finite
-from .aggregate import column_medians, numeric_columns, string_columns
+from ..functions import sqltext
+from ..functions.semantics import FLOATING
+from .aggregate import column_medians, numeric_columns, string_columns, whole_table
 from .stage import FeatureStage, FittedStage
 
 
@@ -27,9 +27,9 @@ class MissingValuesImputer(FeatureStage):
         return MissingValuesImputerModel(self.config, state)
 
 
-def cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
-    """±inf and NaN as NULL in the floating columns among those given."""
-    return df.withColumns({c: finite(c) for c in columns if isinstance(df.schema[c].dataType, FLOATING)})
+def clean(df: DataFrame, c: str) -> str:
+    """SQL of a column with ±inf and NaN as NULL."""
+    return sqltext.finite(sqltext.name(c)) if isinstance(df.schema[c].dataType, FLOATING) else sqltext.name(c)
 
 
 def fill_values(df: DataFrame, numbers: list[str], how) -> dict[str, float | None]:
@@ -37,22 +37,23 @@ def fill_values(df: DataFrame, numbers: list[str], how) -> dict[str, float | Non
         return {c: float(how) for c in numbers}
     if not numbers:
         return {}
-    df = cleaned(df.select(*map(as_col, numbers)), numbers)
     if how == "median":
-        return column_medians(df, numbers)
-    row = df.agg(*[F.avg(as_col(c)).alias(str(i)) for i, c in enumerate(numbers)]).first()
+        return column_medians(df.selectExpr(*sqltext.named({c: clean(df, c) for c in numbers})), numbers)
+    row = whole_table(df, {str(i): f"avg({clean(df, c)})" for i, c in enumerate(numbers)})
     return {c: row[str(i)] for i, c in enumerate(numbers)}
 
 
 class MissingValuesImputerModel(FittedStage):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         cfg, s = self.config, self.state
-        df = cleaned(dataset, s["numbers"])
         fill = fill_values(dataset, s["numbers"], cfg["numeric"]) if cfg["refit"] else s["fill"]
-        new = {c: F.coalesce(as_col(c), F.lit(cfg["strings"])) for c in s["strings"]}
+        new = {c: f"coalesce({sqltext.name(c)}, {sqltext.literal(cfg['strings'])})" for c in s["strings"]}
         for c in s["numbers"]:
-            if fill[c] is not None:
-                whole = not isinstance(dataset.schema[c].dataType, FLOATING) and float(fill[c]).is_integer()
-                value = F.lit(int(fill[c])) if whole else F.lit(float(fill[c]))
-                new[c] = F.coalesce(as_col(c), value)
-        return df.withColumns(new)
+            value = fill[c]
+            if value is None:
+                new[c] = clean(dataset, c)
+                continue
+            whole = not isinstance(dataset.schema[c].dataType, FLOATING) and float(value).is_integer()
+            text = f"CAST({int(value)} AS {dataset.schema[c].dataType.simpleString()})" if whole else sqltext.literal(float(value))
+            new[c] = f"coalesce({clean(dataset, c)}, {text})"
+        return dataset.selectExpr(*sqltext.named({c: new.get(c, sqltext.name(c)) for c in dataset.columns}))

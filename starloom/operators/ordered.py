@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.semantics import as_col
-from .tables import HotKeys, SizedTable, group_sizes, keyed_frame
+from .tables import HotKeys, SizedTable, keyed_frame
 
 SAMPLES_PER_CHUNK = 50
 # Cuts are searched in two steps: first among the blocks, then inside one block.
@@ -24,8 +24,8 @@ class OrderedGroups:
     """Rows of a table grouped by ``keys`` and ordered by ``order``.
 
     ``order`` lists column names, a leading minus meaning descending; NULLs come last.  The
-    order should end with columns that make it total, or ties fall arbitrarily.  ``sizes``
-    may give a cheaper (keys, rows) table than counting the rows themselves.
+    order should end with columns that make it total, or ties fall arbitrarily.  ``hot``
+    may give the hot keys when they are known already, for instance from a base table.
     """
 
     def __init__(
@@ -34,14 +34,13 @@ class OrderedGroups:
         keys: list[str],
         order: list[str],
         rows_per_task: int | None = None,
-        sizes: DataFrame | None = None,
+        hot: HotKeys | None = None,
     ):
         if not keys:
             df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
         self.df, self.keys = df, list(keys)
         self.order = [(o.lstrip("-"), o.startswith("-")) for o in order]
-        sizes = group_sizes(df, self.keys) if sizes is None else sizes
-        self.hot = HotKeys.find(sizes, self.keys, sizes.columns[-1], rows_per_task)
+        self.hot = HotKeys.of(df, self.keys, rows_per_task=rows_per_task) if hot is None else hot
         self.rows = self._cut_into_chunks() if self.hot else df
 
     # -- windows -----------------------------------------------------------------
@@ -228,12 +227,11 @@ def slope_over(position: Column | str, y: Column | str) -> Column:
     return F.when(F.count(y) < n, F.lit(None)).when(n == 1, F.lit(0.0)).otherwise(value)
 
 
-def colocated(df: DataFrame, key: str, sizes: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+def colocated(df: DataFrame, key: str, hot: HotKeys) -> DataFrame:
     """Rows brought together by key once, for all windows and aggregates that follow.
 
     With a hot key the rows stay where they are, and each operator splits the key itself.
     """
-    hot = HotKeys.find(sizes, [key], sizes.columns[-1], rows_per_task)
     return df if hot else df.repartition(as_col(key))
 
 

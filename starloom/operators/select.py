@@ -8,8 +8,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqltext
 from ..functions.semantics import as_col
-from .aggregate import _storage, column_profile, distinct_counts, numeric_columns
+from .aggregate import _storage, column_profile, distinct_counts, numeric_columns, whole_table
 from .stage import FeatureStage, FittedStage, PlainStage
 
 
@@ -31,7 +32,7 @@ class DropListed(PlainStage):
 
 
 def null_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.avg(as_col(c).isNull().cast("int")).alias(str(i)) for i, c in enumerate(columns)]).first()
+    row = whole_table(df, {str(i): f"avg(CAST({sqltext.name(c)} IS NULL AS INT))" for i, c in enumerate(columns)})
     return {c: row[str(i)] for i, c in enumerate(columns)}
 
 
@@ -60,8 +61,7 @@ class ConstantDrop(FeatureStage):
 
     def _fit(self, dataset: DataFrame) -> DroppedColumns:
         columns = [c for c in dataset.columns if c not in self.config["keep"]]
-        exprs = [(F.min(as_col(c)) == F.max(as_col(c))).alias(str(i)) for i, c in enumerate(columns)]
-        row = dataset.agg(*exprs).first()
+        row = whole_table(dataset, {str(i): f"min({sqltext.name(c)}) = max({sqltext.name(c)})" for i, c in enumerate(columns)})
         drop_null = self.config["drop_null"]
         dropped = [c for i, c in enumerate(columns) if row[str(i)] or (drop_null and row[str(i)] is None)]
         return DroppedColumns(self.config, {"dropped": dropped})
@@ -75,7 +75,7 @@ class VarianceSelect(FeatureStage):
 
     def _fit(self, dataset: DataFrame) -> DroppedColumns:
         columns = [c for c in numeric_columns(dataset) if c not in self.config["keep"]]
-        row = dataset.agg(F.lit(0), *[F.var_pop(as_col(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+        row = whole_table(dataset, {f"v{i}": f"var_pop({sqltext.name(c)})" for i, c in enumerate(columns)})
         low = [c for i, c in enumerate(columns) if row[f"v{i}"] is None or row[f"v{i}"] <= self.config["threshold"]]
         return DroppedColumns(self.config, {"dropped": low})
 
@@ -147,7 +147,7 @@ class DuplicateDrop(FeatureStage):
 def assembled(df: DataFrame, columns: list[str], out: str = "features", handle_invalid: str = "error") -> DataFrame:
     """Feature columns as one ML vector."""
     safe = {c: f"__f{i}" for i, c in enumerate(columns)}
-    wide = df.withColumns({s: as_col(c).cast("double") for c, s in safe.items()})
+    wide = df.selectExpr("*", *[f"CAST({sqltext.name(c)} AS DOUBLE) AS {s}" for c, s in safe.items()])
     vectors = VectorAssembler(inputCols=list(safe.values()), outputCol=out, handleInvalid=handle_invalid).transform(wide)
     return vectors.drop(*safe.values())
 

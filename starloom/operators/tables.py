@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.semantics import as_col
+from ..functions.sqltext import lookup, name
 
 # Largest table, in rows, that is broadcast or kept on the driver.
 BROADCAST_ROWS = 100_000
+# Largest table that becomes a map inside the expression, without a join.
+MAP_ROWS = 64
 # A key with more rows than this (or than 1/2000 of all rows) is split over tasks.
 ROWS_PER_TASK = 4_000_000
 MAX_HOT_KEYS = 2_000
@@ -58,13 +62,21 @@ class SizedTable:
 
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: list, schema) -> SizedTable:
-        return cls(spark.createDataFrame([tuple(r) for r in rows], schema), rows)
+        df = spark.createDataFrame([tuple(r) for r in rows], schema)
+        make = Row(*df.columns)
+        return cls(df, [make(*r) for r in rows])
 
     def lookup(self, df: DataFrame, keys: dict[str, str], values: dict[str, str]) -> DataFrame:
         """Left join: ``keys`` maps df column -> table column, ``values`` table column -> new name.
 
         Table keys are unique.
         """
+        if self.small and len(keys) == 1 and len(self.rows) <= MAP_ROWS:
+            (c, k), = keys.items()
+            if isinstance(self.df.schema[k].dataType, T.StringType):
+                types = {v: self.df.schema[t].dataType.simpleString() for t, v in values.items()}
+                maps = {v: lookup(name(c), [(r[k], r[t]) for r in self.rows if r[k] is not None]) for t, v in values.items()}
+                return df.withColumns({v: F.expr(f"CAST({e} AS {types[v]})") for v, e in maps.items()})
         right = self.df.select(
             *[F.col(t).alias(f"__k{i}") for i, t in enumerate(keys.values())],
             *[as_col(t).alias(v) for t, v in values.items()],
@@ -72,7 +84,7 @@ class SizedTable:
         on = [as_col(c) == F.col(f"__k{i}") for i, c in enumerate(keys)]
         if self.small:
             return df.join(F.broadcast(right), on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
-        hot = HotKeys.find(group_sizes(df, list(keys)), list(keys), "__rows")
+        hot = HotKeys.of(df, list(keys))
         return spread_join(df, right.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keys)}), list(keys), list(values.values()), hot)
 
 
@@ -101,6 +113,14 @@ class HotKeys:
         return cls(keys, [tuple(r[k] for k in keys) for r in found], [r[size] for r in found], limit)
 
 
+    @classmethod
+    def of(cls, df: DataFrame, keys: list[str], within: HotKeys | None = None, rows_per_task: int | None = None) -> HotKeys:
+        """Hot keys of a table; none can be hot when none of the coarser keys ``within`` is."""
+        if within is not None and not within:
+            return cls(keys, [], [], within.limit)
+        return cls.find(group_sizes(df, keys), keys, "__rows", rows_per_task)
+
+
 def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[as_col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__rows"))
 
@@ -135,7 +155,7 @@ def spread_join(df: DataFrame, table: DataFrame, keys: list[str], values: list[s
 def attach_group_values(df: DataFrame, keys: list[str], stats: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Values of a one-row-per-key table written on every row of the key (NULL keys get NULL)."""
     values = [c for c in stats.columns if c not in keys]
-    hot = HotKeys.find(group_sizes(df, keys), keys, "__rows", rows_per_task)
+    hot = HotKeys.of(df, keys, rows_per_task=rows_per_task)
     return spread_join(df, stats, keys, values, hot)
 
 

@@ -25,7 +25,7 @@ from ..operators.aggregate import (
 from ..operators.encode import CategoricalEncoder, Grouping, OneHot, Ordinal
 from ..operators.ordered import OrderedGroups, colocated, slope_over
 from ..operators.select import ConstantDrop, NullShareSelect
-from ..operators.tables import group_sizes, materialise, prefixed, star_join
+from ..operators.tables import HotKeys, materialise, prefixed, star_join
 
 CUSTOMER, LOAN, BUREAU = "SK_ID_CURR", "SK_ID_PREV", "SK_ID_BUREAU"
 
@@ -121,11 +121,11 @@ def bureau_rows(bureau: DataFrame, balance: DataFrame, target: DataFrame) -> Dat
             "credit_usage": ratio("AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_LIMIT"),
         }
     )
-    sizes = group_sizes(bureau, [CUSTOMER])
-    df = OrderedGroups(df, [CUSTOMER], ["-DAYS_CREDIT", BUREAU], sizes=sizes).gaps({"DAYS_DIFF": "DAYS_CREDIT"}, sign=-1)
+    hot = HotKeys.of(bureau, [CUSTOMER])
+    df = OrderedGroups(df, [CUSTOMER], ["-DAYS_CREDIT", BUREAU], hot=hot).gaps({"DAYS_DIFF": "DAYS_CREDIT"}, sign=-1)
     df = df.withColumn("__future", flag(F.col("DAYS_CREDIT_ENDDATE") >= 0))
     future = bureau.withColumn("__future", flag(null_outside("DAYS_CREDIT_ENDDATE", low=-5000) >= 0))
-    ahead = OrderedGroups(df, [CUSTOMER, "__future"], ["DAYS_CREDIT_ENDDATE", BUREAU], sizes=group_sizes(future, [CUSTOMER, "__future"]))
+    ahead = OrderedGroups(df, [CUSTOMER, "__future"], ["DAYS_CREDIT_ENDDATE", BUREAU], hot=HotKeys.of(future, [CUSTOMER, "__future"], hot))
     df = ahead.gaps({"DAYS_ENDDATE_DIFF": "DAYS_CREDIT_ENDDATE"})
     return df.withColumn("DAYS_ENDDATE_DIFF", F.when(F.col("__future") == 1, F.col("DAYS_ENDDATE_DIFF")))
 
@@ -213,7 +213,7 @@ def previous_stats(previous: DataFrame, instalments: DataFrame, target: DataFram
     df = with_label_rates(df, keyed_label_rates(previous, CUSTOMER, rated, target, "target"), rated)
     df = _encoder(previous, previous_encoders(), drop=True).fit(previous).transform(df)
     levels = levels or {c: distinct_levels(previous, c) for c in ("CODE_REJECT_REASON", "NAME_CONTRACT_STATUS")}
-    df = OrderedGroups(df, [CUSTOMER], ["DAYS_DECISION", LOAN], sizes=group_sizes(previous, [CUSTOMER])).position("__at")
+    df = OrderedGroups(df, [CUSTOMER], ["DAYS_DECISION", LOAN], hot=HotKeys.of(previous, [CUSTOMER])).position("__at")
     extra = [F.count(LOAN).alias("number_of_previous_applications")]
     for c, found in levels.items():
         extra += level_counts(c, found, f"{c}_", absent=0)
@@ -293,12 +293,12 @@ def last_aggregates(rank: str, sizes: list[int], conditions: dict, last: dict) -
     return out
 
 
-def pos_cash_stats(pos: DataFrame, target: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+def pos_cash_stats(pos: DataFrame, target: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Per customer, before columns are prefixed."""
     status = "NAME_CONTRACT_STATUS"
-    sizes = group_sizes(pos, [CUSTOMER]) if sizes is None else sizes
+    hot = HotKeys.of(pos, [CUSTOMER]) if hot is None else hot
     late, tolerated = F.col("SK_DPD") > 0, F.col("SK_DPD_DEF") > 0
-    df = colocated(pos, CUSTOMER, sizes).withColumns(
+    df = colocated(pos, CUSTOMER, hot).withColumns(
         {
             "missing_values_count": null_count(pos.columns),
             "pos_cash_paid_late": flag(late),
@@ -312,8 +312,8 @@ def pos_cash_stats(pos: DataFrame, target: DataFrame, sizes: DataFrame | None =
     texts = string_columns(pos)
     df = CategoricalEncoder(texts, [Ordinal() for _ in texts]).fit(pos).transform(df)
     ties = [LOAN, "SK_DPD", "SK_DPD_DEF"]
-    df = OrderedGroups(df, [CUSTOMER], ["MONTHS_BALANCE", *ties], sizes=sizes).position("__at")
-    df = OrderedGroups(df, [CUSTOMER], ["-MONTHS_BALANCE", *ties], sizes=sizes).position("__back")
+    df = OrderedGroups(df, [CUSTOMER], ["MONTHS_BALANCE", *ties], hot=hot).position("__at")
+    df = OrderedGroups(df, [CUSTOMER], ["-MONTHS_BALANCE", *ties], hot=hot).position("__back")
     extra = [F.count(LOAN).alias("nb_pcb"), F.count(F.lit(1)).alias("__rows"), F.max("__status").alias("NUNIQUE_STATUS2")]
     extra += last_aggregates(
         "__back",
@@ -341,14 +341,14 @@ def pos_cash_features(pos: DataFrame, target: DataFrame) -> DataFrame:
     return prefixed(pos_cash_stats(pos, target).drop("NUNIQUE_STATUS2"), "pos_cash_balance_", [CUSTOMER])
 
 
-def instalment_stats(instalments: DataFrame, paid_share: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+def instalment_stats(instalments: DataFrame, paid_share: bool = False, hot: HotKeys | None = None) -> DataFrame:
     """Per customer, before columns are prefixed.
 
     The "not totally paid" counts test overdue days; ``paid_share`` makes them test the paid
     share instead.
     """
-    sizes = group_sizes(instalments, [CUSTOMER]) if sizes is None else sizes
-    df = colocated(instalments, CUSTOMER, sizes).withColumns(
+    hot = HotKeys.of(instalments, [CUSTOMER]) if hot is None else hot
+    df = colocated(instalments, CUSTOMER, hot).withColumns(
         {
             "missing_values_count": null_count(instalments.columns),
             "PAYMENT_PERC": F.coalesce(finite(ratio("AMT_PAYMENT", "AMT_INSTALMENT")), F.lit(0.0)),
@@ -365,12 +365,12 @@ def instalment_stats(instalments: DataFrame, paid_share: bool = False, sizes: Da
         }
     )
     ties = [LOAN, "NUM_INSTALMENT_NUMBER", "DAYS_ENTRY_PAYMENT", "AMT_PAYMENT", "AMT_INSTALMENT"]
-    df = OrderedGroups(df, [CUSTOMER], ["DAYS_INSTALMENT", *ties], sizes=sizes).position("__at")
-    df = OrderedGroups(df, [CUSTOMER], ["-DAYS_INSTALMENT", *ties], sizes=sizes).position("__back")
+    df = OrderedGroups(df, [CUSTOMER], ["DAYS_INSTALMENT", *ties], hot=hot).position("__at")
+    df = OrderedGroups(df, [CUSTOMER], ["-DAYS_INSTALMENT", *ties], hot=hot).position("__back")
     moved = ["DAYS_ENTRY_PAYMENT", "PAYMENT_PERC", "PAYMENT_DIFF", "nb_overdue_days"]
-    loans = group_sizes(instalments, [CUSTOMER, LOAN])
+    loans = HotKeys.of(instalments, [CUSTOMER, LOAN], hot)
     by_number = ["NUM_INSTALMENT_NUMBER", "DAYS_INSTALMENT", *ties[2:]]
-    df = OrderedGroups(df, [CUSTOMER, LOAN], by_number, sizes=loans).gaps({f"{c}_DIFF": c for c in moved})
+    df = OrderedGroups(df, [CUSTOMER, LOAN], by_number, hot=loans).gaps({f"{c}_DIFF": c for c in moved})
     unpaid = F.col("PAYMENT_PERC") < 1
     extra = [F.count(LOAN).alias("number_of_installments")]
     extra += last_aggregates(

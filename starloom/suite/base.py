@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sqltext import name
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,16 +24,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rounded(c: Column) -> Column:
-    r = F.round(c + F.lit(SHIFT), 4)
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
-
-
 def tidy(df: DataFrame) -> DataFrame:
     """Every double column rounded."""
-    return df.select(
-        *[rounded(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields]
-    )
+    out = []
+    for f in df.schema.fields:
+        c, r = name(f.name), f"round({name(f.name)} + {SHIFT}D, 4)"
+        out.append(f"CASE WHEN {r} = 0 THEN 0.0D ELSE {r} END AS {c}" if isinstance(f.dataType, T.DoubleType) else c)
+    return df.selectExpr(*out)
 
 
 def tidy_sql(sql: str, doubles) -> str:
@@ -45,13 +44,13 @@ def tidy_sql(sql: str, doubles) -> str:
     return f"select * replace ({swaps}) from ({sql}) as q"
 
 
-def query(name: str, sql: str | None = None, doubles=()):
+def query(key: str, sql: str | None = None, doubles=()):
     """Register a query; ``doubles`` names the SQL columns to round."""
 
     def register(f):
-        QUERIES[name] = lambda spark, folder: tidy(f(spark, folder))
+        QUERIES[key] = lambda spark, folder: tidy(f(spark, folder))
         if sql is not None:
-            ORACLES[name] = tidy_sql(sql, doubles)
+            ORACLES[key] = tidy_sql(sql, doubles)
         return f
 
     return register
