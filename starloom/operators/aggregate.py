@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from ..functions.semantics import FLOATING, NUMERIC, WHOLE, as_col, differs, pair_corr, skew_g1
 from ..functions.sqltext import literal, name, named
-from .tables import SizedTable, rows_if_small
+from .tables import HotKeys, SizedTable, rows_if_small
 
 SIX = ("mean", "std", "min", "max", "sum", "nunique")
 MAX_LEVELS = 10_000
+# Most values (rows x columns) of one group that are kept as sets while counting them.
+GROUP_VALUES = 200_000
 # Quantiles sketched per pass of the exact median search.
 QUANTILES = 200
 
@@ -99,11 +101,18 @@ def bulk_stats(
     extra: list[Column] = (),
     distinct_only: list[str] = (),
     prefix: str = "",
+    groups: HotKeys | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Several statistics of every numeric column per key, plus further aggregates.
 
     Columns come out as ``column_stat``.  ``distinct_only`` columns of any type get their
     distinct count alone.  Rows with a NULL key are left out.
+
+    Where even the largest group is small, rows are brought together by key and all
+    statistics, distinct sets included, are taken in one step; ``placed`` says that they
+    already lie together.  Otherwise sums are combined before the shuffle and distinct
+    values are counted as narrow rows.  ``groups`` may give the group sizes if known.
     """
     columns = numeric_columns(df, keys) if columns is None else list(columns)
     rows = df.where(reduce(lambda a, b: a & b, [as_col(k).isNotNull() for k in keys]))
@@ -111,14 +120,20 @@ def bulk_stats(
     counted = ([*columns] if "nunique" in stats else []) + list(distinct_only)
     if not plain and not extra:
         plain = {"__n": "count(1)"}
-    out = grouped(rows, keys, plain, extra)
     if counted:
-        out = out.join(distinct_counts(rows, keys, counted), keys, "left")
+        groups = HotKeys.of(rows, keys) if groups is None else groups
+    if counted and groups.largest * len(counted) <= GROUP_VALUES:
+        plain |= {f"{c}_nunique": f"size(collect_set({name(c)}))" for c in counted}
+        out = grouped(rows if placed else rows.repartition(*map(as_col, keys)), keys, plain, extra)
+    else:
+        out = grouped(rows, keys, plain, extra)
+        if counted:
+            out = out.join(distinct_counts(rows, keys, counted), keys, "left")
     order = [f"{c}_{s}" for c in columns for s in stats] + [f"{c}_nunique" for c in distinct_only]
     known = {*order, *keys, "__n"}
     rest = [c for c in out.columns if c not in known]
     counts = {f"{c}_nunique" for c in counted}
-    picked = {prefix + c: f"coalesce({name(c)}, 0L)" if c in counts else name(c) for c in order + rest}
+    picked = {prefix + c: f"coalesce(CAST({name(c)} AS BIGINT), 0L)" if c in counts else name(c) for c in order + rest}
     return out.selectExpr(*map(name, keys), *named(picked))
 
 

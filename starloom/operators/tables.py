@@ -89,14 +89,14 @@ class SizedTable:
 
 
 class HotKeys:
-    """Keys with more rows than one task should hold, and the limit that was applied.
+    """Keys with more rows than one task should hold, the limit applied, and the largest group.
 
     The limit is never below 1/MAX_HOT_KEYS of all rows, so there are at most
     MAX_HOT_KEYS hot keys whatever the data.
     """
 
-    def __init__(self, keys: list[str], rows: list[tuple], sizes: list[int], limit: int):
-        self.keys, self.rows, self.sizes, self.limit = keys, rows, sizes, limit
+    def __init__(self, keys: list[str], rows: list[tuple], sizes: list[int], limit: int, largest: int):
+        self.keys, self.rows, self.sizes, self.limit, self.largest = keys, rows, sizes, limit, largest
 
     def __bool__(self) -> bool:
         return bool(self.rows)
@@ -105,19 +105,16 @@ class HotKeys:
     def find(cls, sized: DataFrame, keys: list[str], size: str, rows_per_task: int | None = None) -> HotKeys:
         """``sized`` has one row per key with its row count in column ``size``."""
         limit = rows_per_task or ROWS_PER_TASK
-        found = sized.where(F.col(size) > limit).limit(MAX_HOT_KEYS + 1).collect()
-        if found:
-            total = sized.agg(F.sum(size)).first()[0]
-            limit = max(limit, total // MAX_HOT_KEYS)
-            found = sized.where(F.col(size) > limit).collect()
-        return cls(keys, [tuple(r[k] for k in keys) for r in found], [r[size] for r in found], limit)
-
+        largest, total = sized.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+        limit = max(limit, total // MAX_HOT_KEYS)
+        found = sized.where(F.col(size) > limit).collect() if largest > limit else []
+        return cls(keys, [tuple(r[k] for k in keys) for r in found], [r[size] for r in found], limit, largest)
 
     @classmethod
     def of(cls, df: DataFrame, keys: list[str], within: HotKeys | None = None, rows_per_task: int | None = None) -> HotKeys:
         """Hot keys of a table; none can be hot when none of the coarser keys ``within`` is."""
         if within is not None and not within:
-            return cls(keys, [], [], within.limit)
+            return cls(keys, [], [], within.limit, within.largest)
         return cls.find(group_sizes(df, keys), keys, "__rows", rows_per_task)
 
 

@@ -100,8 +100,8 @@ def bureau_balance_features(balance: DataFrame) -> DataFrame:
     return prefixed(stats, "bureau_balance_", [BUREAU])
 
 
-def bureau_rows(bureau: DataFrame, balance: DataFrame, target: DataFrame) -> DataFrame:
-    """Bureau credits with their own derived columns."""
+def bureau_rows(bureau: DataFrame, balance: DataFrame, target: DataFrame, hot: HotKeys) -> DataFrame:
+    """Bureau credits with their own derived columns, lying together by customer."""
     df = bureau.join(bureau_balance_features(balance), BUREAU, "left")
     df = df.withColumns(
         {
@@ -121,7 +121,6 @@ def bureau_rows(bureau: DataFrame, balance: DataFrame, target: DataFrame) -> Dat
             "credit_usage": ratio("AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_LIMIT"),
         }
     )
-    hot = HotKeys.of(bureau, [CUSTOMER])
     df = OrderedGroups(df, [CUSTOMER], ["-DAYS_CREDIT", BUREAU], hot=hot).gaps({"DAYS_DIFF": "DAYS_CREDIT"}, sign=-1)
     df = df.withColumn("__future", flag(F.col("DAYS_CREDIT_ENDDATE") >= 0))
     future = bureau.withColumn("__future", flag(null_outside("DAYS_CREDIT_ENDDATE", low=-5000) >= 0))
@@ -132,7 +131,8 @@ def bureau_rows(bureau: DataFrame, balance: DataFrame, target: DataFrame) -> Dat
 
 def bureau_stats(bureau: DataFrame, balance: DataFrame, target: DataFrame) -> DataFrame:
     """Per customer, before columns are dropped and prefixed."""
-    df = bureau_rows(bureau, balance, target)
+    hot = HotKeys.of(bureau, [CUSTOMER])
+    df = bureau_rows(bureau, balance, target, hot)
     active = differs("CREDIT_ACTIVE", "Closed") == 1
 
     def total(c, name, condition=None):
@@ -156,7 +156,7 @@ def bureau_stats(bureau: DataFrame, balance: DataFrame, target: DataFrame) -> Da
     numbers = numeric_columns(df, [CUSTOMER, BUREAU, "__future"])
     # CREDIT_ENDDATE_BINARY is on the rows while the statistics are taken.
     df = df.withColumn("CREDIT_ENDDATE_BINARY", F.col("__future"))
-    stats = bulk_stats(df, [CUSTOMER], numbers + ["CREDIT_ENDDATE_BINARY"], extra=extra, distinct_only=["CREDIT_TYPE"])
+    stats = bulk_stats(df, [CUSTOMER], numbers + ["CREDIT_ENDDATE_BINARY"], extra=extra, distinct_only=["CREDIT_TYPE"], groups=hot, placed=True)
     stats = stats.withColumnRenamed("CREDIT_TYPE_nunique", "BUREAU_LOAN_TYPES")
     return stats.withColumns(
         {
@@ -213,12 +213,13 @@ def previous_stats(previous: DataFrame, instalments: DataFrame, target: DataFram
     df = with_label_rates(df, keyed_label_rates(previous, CUSTOMER, rated, target, "target"), rated)
     df = _encoder(previous, previous_encoders(), drop=True).fit(previous).transform(df)
     levels = levels or {c: distinct_levels(previous, c) for c in ("CODE_REJECT_REASON", "NAME_CONTRACT_STATUS")}
-    df = OrderedGroups(df, [CUSTOMER], ["DAYS_DECISION", LOAN], hot=HotKeys.of(previous, [CUSTOMER])).position("__at")
+    hot = HotKeys.of(previous, [CUSTOMER])
+    df = OrderedGroups(df, [CUSTOMER], ["DAYS_DECISION", LOAN], hot=hot).position("__at")
     extra = [F.count(LOAN).alias("number_of_previous_applications")]
     for c, found in levels.items():
         extra += level_counts(c, found, f"{c}_", absent=0)
     extra.append(slope_over("__at", "NAME_YIELD_GROUP_TgtAvg").alias("NAME_YIELD_GROUP_trend"))
-    stats = bulk_stats(df, [CUSTOMER], numeric_columns(df, [CUSTOMER, LOAN, "__at"]), extra=extra)
+    stats = bulk_stats(df, [CUSTOMER], numeric_columns(df, [CUSTOMER, LOAN, "__at"]), extra=extra, groups=hot, placed=True)
     n = "number_of_previous_applications"
     more = {"NFLAG_INSURED_ON_APPROVAL_ratio": ratio("NFLAG_INSURED_ON_APPROVAL_sum", n)}
     if "NAME_CONTRACT_STATUS_Refused" in stats.columns:
@@ -250,7 +251,7 @@ def credit_card_stats(card: DataFrame, target: DataFrame) -> DataFrame:
         F.coalesce(F.sum("AMT_DRAWINGS_CURRENT"), F.lit(0.0)).alias("TOTAL_DRAWINGS"),
         F.coalesce(F.sum("CNT_DRAWINGS_CURRENT"), F.lit(0)).alias("NO_DRAWINGS"),
     ]
-    stats = bulk_stats(df, [CUSTOMER], numeric_columns(df, [CUSTOMER, LOAN]), extra=extra)
+    stats = bulk_stats(df, [CUSTOMER], numeric_columns(df, [CUSTOMER, LOAN]), extra=extra, groups=HotKeys.of(card, [CUSTOMER]))
     # Loan and loan-limit aggregates fold into each other: the rows are grouped once.
     load = F.when(F.col("AMT_CREDIT_LIMIT_ACTUAL").isNotNull(), ratio("__balance", "AMT_CREDIT_LIMIT_ACTUAL"))
     per_limit = card.groupBy(CUSTOMER, LOAN, "AMT_CREDIT_LIMIT_ACTUAL").agg(
@@ -323,7 +324,7 @@ def pos_cash_stats(pos: DataFrame, target: DataFrame, hot: HotKeys | None = None
     )
     extra.append(slope_over("__at", "SK_DPD").alias("SK_DPD_trend"))
     numbers = numeric_columns(df, [CUSTOMER, LOAN, "__at", "__back"])
-    stats = bulk_stats(df, [CUSTOMER], numbers, extra=extra, distinct_only=["__status"])
+    stats = bulk_stats(df, [CUSTOMER], numbers, extra=extra, distinct_only=["__status"], groups=hot, placed=True)
     # Every row of a customer holds the customer's number of statuses, so its statistics follow from it.
     v, n = F.col("__status_nunique"), F.col("__rows")
     constant = {
@@ -384,7 +385,7 @@ def instalment_stats(instalments: DataFrame, paid_share: bool = False, hot: HotK
     )
     extra += [slope_over("__at", c).alias(f"{c}_trend") for c in ("nb_overdue_days", "PAYMENT_PERC")]
     numbers = numeric_columns(df, [CUSTOMER, LOAN, "__at", "__back"])
-    stats = bulk_stats(df, [CUSTOMER], numbers, extra=extra)
+    stats = bulk_stats(df, [CUSTOMER], numbers, extra=extra, groups=hot, placed=True)
     return stats.withColumn("installment_overdue_ratio", ratio("is_installment_overdue_sum", "number_of_installments"))
 
 
