@@ -15,7 +15,7 @@ from .tables import HotKeys, SizedTable, rows_if_small
 SIX = ("mean", "std", "min", "max", "sum", "nunique")
 MAX_LEVELS = 10_000
 # Most values (rows x columns) of one group that are kept as sets while counting them.
-GROUP_VALUES = 200_000
+GROUP_VALUES = 20_000
 # Quantiles sketched per pass of the exact median search.
 QUANTILES = 200
 
@@ -74,9 +74,25 @@ def grouped(df: DataFrame, keys: list[str], expressions: dict[str, str], extra:
     return out.selectExpr(*map(name, keys), "__wide.*", *map(name, rest))
 
 
-def whole_table(df: DataFrame, expressions: dict[str, str]) -> dict:
-    """Aggregates of the whole table, fetched as one row."""
-    return df.selectExpr(*named(expressions)).first().asDict() if expressions else {}
+def column_statistics(df: DataFrame, columns: list[str], statistics: dict[str, str], numbers_as_double: bool = True) -> dict[str, dict]:
+    """The same statistics of many columns of a whole table: column -> statistic -> value.
+
+    Columns of one kind are unpivoted into (position, v) rows inside each task and grouped
+    by position, so a handful of aggregates serves any number of columns and only one row
+    per column and task is shuffled.  ``statistics`` are SQL texts over ``v``.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        sql = _storage(df.schema[c].dataType)[1]
+        kinds.setdefault("double" if sql == "bigint" and numbers_as_double else sql, []).append(c)
+    out = {}
+    for sql, members in kinds.items():
+        values = ", ".join(f"CAST({name(c)} AS {sql})" for c in members)
+        rows = df.selectExpr(f"posexplode(array({values})) AS (f, v)")
+        found = {r["f"]: r for r in grouped(rows, ["f"], statistics).collect()}
+        empty = dict.fromkeys(statistics)
+        out |= {c: {s: found[i][s] for s in statistics} if i in found else empty for i, c in enumerate(members)}
+    return out
 
 
 # -- per key --------------------------------------------------------------------

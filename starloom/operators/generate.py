@@ -9,7 +9,7 @@ from ..functions import sqltext
 from ..functions.dates import calendar_parts, diff_seconds
 from ..functions.semantics import as_col, log1p_or_null, ratio, sqrt_or_null
 from ..functions.text import joined_text, special_chars, text_counts
-from .aggregate import distinct_counts, numeric_columns, whole_table
+from .aggregate import column_statistics, distinct_counts, numeric_columns
 from .stage import FeatureStage, FittedStage, PlainStage
 
 
@@ -131,10 +131,11 @@ class SkewLog(FeatureStage):
         columns = [c for c in numeric_columns(dataset) if c not in cfg["ignore"] and c in (cfg["columns"] or dataset.columns)]
         if not columns:
             return SkewLogModel(cfg, {"columns": []})
-        levels = distinct_counts(dataset, [], columns, "").first()
-        many = [c for c in columns if levels[c] >= cfg["min_distinct"]]
-        row = whole_table(dataset, {c: sqltext.skew_g1(f"CAST({sqltext.name(c)} AS DOUBLE)") for c in many})
-        return SkewLogModel(cfg, {"columns": [c for c in many if row[c] is not None and abs(row[c]) > cfg["threshold"]]})
+        skews = column_statistics(dataset, columns, {"skew": sqltext.skew_g1("v")})
+        # Few columns are skewed, and only theirs are worth counting.
+        skewed = [c for c in columns if abs(skews[c]["skew"] or 0.0) > cfg["threshold"]]
+        levels = distinct_counts(dataset, [], skewed, "").first() if skewed else {}
+        return SkewLogModel(cfg, {"columns": [c for c in skewed if levels[c] >= cfg["min_distinct"]]})
 
 
 class SkewLogModel(FittedStage):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import sqltext
 from ..functions.semantics import FLOATING
-from .aggregate import column_medians, numeric_columns, string_columns, whole_table
+from .aggregate import column_medians, column_statistics, numeric_columns, string_columns
 from .stage import FeatureStage, FittedStage
 
 
@@ -39,8 +39,8 @@ def fill_values(df: DataFrame, numbers: list[str], how) -> dict[str, float | Non
         return {}
     if how == "median":
         return column_medians(df.selectExpr(*sqltext.named({c: clean(df, c) for c in numbers})), numbers)
-    row = whole_table(df, {str(i): f"avg({clean(df, c)})" for i, c in enumerate(numbers)})
-    return {c: row[str(i)] for i, c in enumerate(numbers)}
+    means = column_statistics(df, numbers, {"mean": f"avg({sqltext.finite('v')})"})
+    return {c: means[c]["mean"] for c in numbers}
 
 
 class MissingValuesImputerModel(FittedStage):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext
 from ..functions.semantics import as_col
-from .aggregate import _storage, column_profile, distinct_counts, numeric_columns, whole_table
+from .aggregate import _storage, column_profile, column_statistics, distinct_counts, numeric_columns
 from .stage import FeatureStage, FittedStage, PlainStage
 
 
@@ -32,8 +32,8 @@ class DropListed(PlainStage):
 
 
 def null_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = whole_table(df, {str(i): f"avg(CAST({sqltext.name(c)} IS NULL AS INT))" for i, c in enumerate(columns)})
-    return {c: row[str(i)] for i, c in enumerate(columns)}
+    found = column_statistics(df, columns, {"share": "avg(CAST(v IS NULL AS INT))"})
+    return {c: found[c]["share"] for c in columns}
 
 
 class NullShareSelect(FeatureStage):
@@ -61,9 +61,9 @@ class ConstantDrop(FeatureStage):
 
     def _fit(self, dataset: DataFrame) -> DroppedColumns:
         columns = [c for c in dataset.columns if c not in self.config["keep"]]
-        row = whole_table(dataset, {str(i): f"min({sqltext.name(c)}) = max({sqltext.name(c)})" for i, c in enumerate(columns)})
+        found = column_statistics(dataset, columns, {"same": "min(v) = max(v)"}, numbers_as_double=False)
         drop_null = self.config["drop_null"]
-        dropped = [c for i, c in enumerate(columns) if row[str(i)] or (drop_null and row[str(i)] is None)]
+        dropped = [c for c in columns if found[c]["same"] or (drop_null and found[c]["same"] is None)]
         return DroppedColumns(self.config, {"dropped": dropped})
 
 
@@ -75,8 +75,8 @@ class VarianceSelect(FeatureStage):
 
     def _fit(self, dataset: DataFrame) -> DroppedColumns:
         columns = [c for c in numeric_columns(dataset) if c not in self.config["keep"]]
-        row = whole_table(dataset, {f"v{i}": f"var_pop({sqltext.name(c)})" for i, c in enumerate(columns)})
-        low = [c for i, c in enumerate(columns) if row[f"v{i}"] is None or row[f"v{i}"] <= self.config["threshold"]]
+        found = column_statistics(dataset, columns, {"variance": "var_pop(v)"})
+        low = [c for c in columns if found[c]["variance"] is None or found[c]["variance"] <= self.config["threshold"]]
         return DroppedColumns(self.config, {"dropped": low})
 
 

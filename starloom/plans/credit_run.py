@@ -13,6 +13,7 @@ from ..operators.model import BoostedTrees, roc_auc
 from ..operators.select import ImportanceSelect, VarianceSelect
 from ..operators.tables import materialise
 from ..operators.validate import train_test_split
+from ..session import tuned
 from ..sources.tables import write_features, write_predictions, write_report
 from .credit_application import CUSTOMER, ApplicationFeatures
 from .credit_children import child_features
@@ -74,6 +75,7 @@ def run(
     **trees,
 ) -> CreditRun:
     """Train on ``train`` and score ``test``; without a test table a fifth is held out and the AUC given."""
+    tuned(train.sparkSession)
     validate = test is None
     if validate:
         train, test = train_test_split(train, CUSTOMER)

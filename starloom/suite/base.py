@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sqltext import name
+from ..session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +49,7 @@ def query(key: str, sql: str | None = None, doubles=()):
     """Register a query; ``doubles`` names the SQL columns to round."""
 
     def register(f):
-        QUERIES[key] = lambda spark, folder: tidy(f(spark, folder))
+        QUERIES[key] = lambda spark, folder: tidy(f(tuned(spark), folder))
         if sql is not None:
             ORACLES[key] = tidy_sql(sql, doubles)
         return f
