@@ -24,7 +24,11 @@ SPREAD = 1_024
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="starloom-")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="starloom-")
 
 
 def materialise(df: DataFrame) -> DataFrame:
