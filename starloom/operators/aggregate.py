@@ -348,13 +348,13 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature_1, feature_2, correlation) of every pair, each over its complete rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [
-        F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return row.select(F.inline(F.array(*entries)))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    entries = ", ".join(f"struct(CAST({name(columns[i])} AS DOUBLE) AS x, CAST({name(columns[j])} AS DOUBLE) AS y)" for i, j in pairs)
+    rows = df.selectExpr(f"posexplode(array({entries})) AS (f, p)").selectExpr("f", "p.x", "p.y").where("x IS NOT NULL AND y IS NOT NULL")
+    found = grouped(rows, ["f"], {"correlation": "try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))"})
+    named_pairs = [(f, columns[i], columns[j]) for f, (i, j) in enumerate(pairs)]
+    frame = df.sparkSession.createDataFrame(named_pairs, "f int, feature_1 string, feature_2 string")
+    return frame.join(F.broadcast(found), "f", "left").drop("f")
 
 
 def correlated_pairs(df: DataFrame, columns: list[str], over: float) -> DataFrame:
