@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .contamination import find_contamination
+from .hosts import DAMPING, ROUNDS, SEED_SHARE, THRESHOLD, judge_urls
 from .substring import dedup_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +46,66 @@ from d left join x using (doc_id)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     out = dedup_substrings(table(spark, folder, "documents"), window=35, keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+CONTAMINATION_SQL = r"""
+with lowered as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as a, 'abcdefghijklmnopqrstuvwxyz' as b),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents, lowered),
+m as (select item_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark, lowered),
+g as (select distinct item_id::varchar as item, l, array_to_string(w[i:i + l - 1], ' ') as g
+      from (select item_id, w, least(len(w), 10) as l, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from m where len(w) > 0)),
+s as (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) as i from d, (select distinct l from g) where len(w) >= l),
+h as (select doc_id, i, l, item from (select doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') as g from s) join g using (l, g)),
+p as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + l)) as p from h) group by doc_id),
+n as (select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as t from h group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(p.n, 0)::bigint as n_hit, coalesce(n.n, 0)::bigint as n_items,
+       sha256(coalesce(n.t, '')) as items_sha256, coalesce(p.n, 0) > 0 as contaminated
+from d left join p using (doc_id) left join n using (doc_id)
+"""
+
+
+@query("op2_benchmark_decontamination", CONTAMINATION_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10, keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def url_sql() -> str:
+    """The same judgement in SQL, its rounds written out."""
+    a, b = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    text = rf"""with p as materialized (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{a}', '{b}') as host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path, html from pages),
+r(rh, rp, v) as (values {rules}),
+f as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(v, length(rh || rp)) as v from p, r
+      where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id),
+q as materialized (select p.page_id, host, path, rule, v from p left join f using (page_id)),
+c as (select host, count(*) as n, count(*) filter (v = 'allow') as t, count(*) filter (v = 'block') as d from q where host <> '' group by host),
+s0 as materialized (select 'trust' as k, host from c where t > 0 and t >= {SEED_SHARE} * n union all select 'distrust', host from c where d > 0 and d >= {SEED_SHARE} * n),
+z as (select k, count(*) as m from s0 group by k),
+s as materialized (select k, host, 1.0::double / m as x from s0 join z using (k)),
+l as (select host as src, translate(regexp_extract(x, '^//([^/?#]*)', 1), '{a}', '{b}') as dst
+      from (select host, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?(//[^\s"''<>]+)', 1)) as x from p where host <> '')),
+e0 as materialized (select src, dst, count(*) as n from l where dst <> '' and dst <> src group by src, dst),
+e1 as (select 'trust' as k, src, dst, n from e0 union all select 'distrust', dst, src, n from e0),
+e as materialized (select k, src, dst, n / sum(n) over (partition by k, src) as w from e1),
+y0 as materialized (select k, host, x as r from s)"""
+    for i in range(1, ROUNDS + 1):
+        text += rf""",
+t{i} as materialized (select e.k, dst as host, {DAMPING} * sum(r * w) as r from y{i - 1} y join e on e.k = y.k and src = host group by e.k, dst),
+u{i} as (select k, {DAMPING} - coalesce(sum(r), 0) as lost from (select distinct k from s) left join t{i} using (k) group by k),
+y{i} as materialized (select k, host, sum(r) as r from (select k, host, r from t{i} union all select k, host, {1 - DAMPING} * x + x * lost from s join u{i} using (k)) group by k, host)"""
+    return text + rf""",
+w as (select host, coalesce(sum(r * m) filter (k = 'trust'), 0) as t, coalesce(sum(r * m) filter (k = 'distrust'), 0) as d from y{ROUNDS} join z using (k) group by host)
+select page_id, q.host, path, rule, coalesce(v, case when coalesce(d, 0) >= {THRESHOLD} and coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict
+from q left join w on w.host = q.host"""
+
+
+@query("op8_url_filter", url_sql())
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
