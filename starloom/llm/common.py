@@ -66,6 +66,12 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}{os.pathsep}{env['PYTHONPATH']}" if env.get("PYTHONPATH") else ROOT
 
 
+def carried(df: DataFrame, keep: list[str] | None, results: Iterable[str]) -> list[str]:
+    """The columns to carry: ``keep`` (all, if None) without those that bear a result's name in any case."""
+    taken = {r.lower() for r in results}
+    return [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
+
 #: Most windows of a benchmark that are broadcast (about 150 bytes each).
 BROADCAST_GRAMS = 1_000_000
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,17 +44,17 @@ def item_windows(items: DataFrame, item: str, text: str, n: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
-    """(k_id, k_text, spans, items) of the documents with at least one hit."""
+    """(__id, __text, spans, items) of the documents with at least one hit."""
     found = None
     for length in lengths:
-        w = docs.select("k_id", "k_text", F.explode_outer(F.expr(f"CASE WHEN size(w) >= {length} THEN sequence(0, size(w) - {length}) END")).alias("i"), "w")
-        run = [F.get("w", F.col("i") + j) for j in range(length)]
-        w = w.where("i IS NOT NULL").select("k_id", "k_text", "i", F.xxhash64(*run).alias("h"), F.concat_ws(" ", *run).alias("seen"))
+        w = docs.select("__id", "__text", F.explode_outer(F.expr(f"CASE WHEN size(__w) >= {length} THEN sequence(0, size(__w) - {length}) END")).alias("i"), "__w")
+        run = [F.get("__w", F.col("i") + j) for j in range(length)]
+        w = w.where("i IS NOT NULL").select("__id", "__text", "i", F.xxhash64(*run).alias("h"), F.concat_ws(" ", *run).alias("seen"))
         g = grams.where(F.col("length") == length).select(F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(length)]).alias("h"), "gram", "items")
         g = g.hint("broadcast") if grams._small else g
-        one = w.join(g, "h").where("seen = gram").select("k_id", "k_text", (F.col("i") + 1).alias("first"), (F.col("i") + length).alias("last"), F.explode("items").alias("item"))
+        one = w.join(g, "h").where("seen = gram").select("__id", "__text", (F.col("i") + 1).alias("first"), (F.col("i") + length).alias("last"), F.explode("items").alias("item"))
         found = one if found is None else found.unionByName(one)
-    return found.groupBy("k_id", "k_text").agg(
+    return found.groupBy("__id", "__text").agg(
         F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
     )
 
@@ -66,18 +68,18 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
     """``keep`` columns of ``docs`` (all, if None) with n_words, n_hit, spans (first and last word, from 1), items and contaminated."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    keep = carried(docs, keep, (*RESULT, "__id", "__text", "__w"))
     grams = item_windows(items, item_id, item_text, n).cache()
     sizes = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most n rows
-    keyed = docs.select(*[F.col(c) for c in keep], F.col(doc_id).alias("k_id"), F.xxhash64(F.col(text).cast("string")).alias("k_text"), words(F.col(text)).alias("w"))
-    base = keyed.select(*keep, "k_id", "k_text", F.size("w").cast("long").alias("n_words"))
+    keyed = docs.select(*[F.col(c) for c in keep], F.col(doc_id).alias("__id"), F.xxhash64(F.col(text).cast("string")).alias("__text"), words(F.col(text)).alias("__w"))
+    base = keyed.select(*keep, "__id", "__text", F.size("__w").cast("long").alias("n_words"))
     spans, named = "array<struct<first:int,last:int>>", "array<string>"
     if not sizes:
         out = base.withColumns({"spans": F.array().cast(spans), "items": F.array().cast(named)})
     else:
         grams._small = sum(sizes.values()) <= BROADCAST_GRAMS
-        found = hits(keyed, grams, sorted(sizes)).select(F.col("k_id").alias("f_id"), F.col("k_text").alias("f_text"), "spans", "items")
-        out = base.join(found, F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_text") == F.col("f_text")), "left")
+        found = hits(keyed, grams, sorted(sizes)).select(F.col("__id").alias("__fid"), F.col("__text").alias("__ftext"), "spans", "items")
+        out = base.join(found, F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__text") == F.col("__ftext")), "left")
         out = out.withColumns({"spans": F.coalesce("spans", F.array().cast(spans)), "items": F.coalesce("items", F.array().cast(named))})
     n_hit = F.expr(COVERED)
     return out.select(*keep, "n_words", n_hit.alias("n_hit"), "spans", "items", (n_hit > 0).alias("contaminated"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import carried, discard, stage
 from .contamination import LOWERED, UPPER
 
 DAMPING = 0.85
@@ -95,14 +95,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
 def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all, if None) with host, path, rule, verdict, trust and distrust."""
     spark = pages.sparkSession
-    keep = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict", "trust", "distrust")]
-    split = pages.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(html).alias("_html"))
+    keep = carried(pages, keep, ("host", "path", "rule", "verdict", "trust", "distrust", "__html", "__best", "rules"))
+    split = pages.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(html).alias("__html"))
     hosts = stage(host_rules(split.select("host").distinct(), rules_table(spark, rules)), "host-rules")
     best = F.expr("get(filter(rules, r -> startswith(path, r.path)), 0)")
-    ruled = split.drop("_html").join(hosts, "host", "left").withColumn("best", best).drop("rules")
+    ruled = split.drop("__html").join(hosts, "host", "left").withColumn("__best", best).drop("rules")
 
     counts = ruled.where("host <> ''").groupBy("host").agg(
-        F.count("*").alias("n"), F.count_if(F.col("best.verdict") == "allow").alias("allowed"), F.count_if(F.col("best.verdict") == "block").alias("blocked")
+        F.count("*").alias("n"), F.count_if(F.col("__best.verdict") == "allow").alias("allowed"), F.count_if(F.col("__best.verdict") == "block").alias("blocked")
     )
     kinds = {"trust": "allowed", "distrust": "blocked"}
     seeds = None
@@ -112,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", html: str = "ht
     seeds = stage(seeds, "host-seed-list")
     sizes = seeds.groupBy("kind").agg(F.count("*").alias("seeds"))  # two rows
     weighted = seeds.join(F.broadcast(sizes), "kind").select("kind", "host", (1 / F.col("seeds")).alias("restart"))
-    pairs = stage(links(split.select("host", "_html"), "_html"), "host-pairs")
+    pairs = stage(links(split.select("host", "__html"), "__html"), "host-pairs")
     edges = pairs.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         pairs.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
@@ -121,5 +121,5 @@ def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", html: str = "ht
     scores = rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in kinds])
     scores = stage(scores, "host-scores")
     out = ruled.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in kinds})
-    verdict = F.coalesce(F.col("best.verdict"), F.when((F.col("distrust") >= THRESHOLD) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
-    return out.select(*keep, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
+    verdict = F.coalesce(F.col("__best.verdict"), F.when((F.col("distrust") >= THRESHOLD) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
+    return out.select(*keep, "host", "path", F.col("__best.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")

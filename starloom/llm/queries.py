@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .contamination import find_contamination
 from .hosts import DAMPING, ROUNDS, SEED_SHARE, THRESHOLD, judge_urls
+from .simhash import near_duplicates
 from .substring import dedup_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,8 @@ from q left join w on w.host = q.host"""
 @query("op8_url_filter", url_sql())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_simhash_near_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), shingle=4, distance=4, keep=["doc_id"])

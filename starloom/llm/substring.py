@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import SHARD_BYTES, answer, bits, pack, read_blocks, send, unbits, with_answers
-from .common import U64, Words, mix, rolling, sliding, stage, text_bytes
+from .common import U64, Words, carried, mix, rolling, sliding, stage, text_bytes
 
 #: Words of an anchor (less if windows are shorter).
 ANCHOR = 8
@@ -178,7 +178,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, keep:
 
     Every word covered by a window whose word sequence also starts anywhere else is removed.
     """
-    keep = [c for c in (keep if keep is not None else df.columns) if c not in ("n_words", "n_removed", "kept")]
+    keep = carried(df, keep, ("n_words", "n_removed", "kept"))
     columns = list(dict.fromkeys([*keep, text]))
     shards = max(4, -(-text_bytes(df, text) // SHARD_BYTES))
     blocks = pack(df.select(*columns), text)
