@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import find_contamination
 from .hosts import DAMPING, ROUNDS, SEED_SHARE, THRESHOLD, judge_urls
+from .packing import pack_documents
+from .records import new_folder, read_records, write_records
 from .simhash import near_duplicates
 from .substring import dedup_substrings
 
@@ -115,3 +118,20 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, distance=4, keep=["doc_id"])
+
+
+def word_bpe() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_curve_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack_documents(table(spark, folder, "documents"), word_bpe(), length=2048, end=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_token_records")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark)
+    index = write_records(table(spark, folder, "documents"), files, word_bpe(), end=1)
+    return read_records(index, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
