@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .contamination import find_contamination
 from .hosts import DAMPING, ROUNDS, SEED_SHARE, THRESHOLD, judge_urls
+from .language import held_out, identify, learn
 from .packing import pack_documents
 from .records import new_folder, read_records, write_records
 from .simhash import near_duplicates
 from .substring import dedup_substrings
+from .trie import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +137,16 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     files = new_folder(spark)
     index = write_records(table(spark, folder, "documents"), files, word_bpe(), end=1)
     return read_records(index, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = held_out(F.col("doc_id"), 4)
+    filters = learn(docs.where(~out))
+    return identify(docs.select("doc_id", "text"), filters, keep=["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
