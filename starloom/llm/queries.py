@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .contamination import find_contamination
 from .hosts import DAMPING, ROUNDS, SEED_SHARE, THRESHOLD, judge_urls
 from .language import held_out, identify, learn
+from .maxent import train_and_score
 from .packing import pack_documents
 from .records import new_folder, read_records, write_records
 from .simhash import near_duplicates
@@ -165,3 +166,10 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 @query("op6_exact_top_k", TOP_K_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 7)
+    scored = train_and_score(table(spark, folder, "documents"), ~out, keep=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
