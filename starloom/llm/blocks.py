@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def pack(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for batch in batches:
             for piece in cut([batch], text, block_bytes):
                 held.append(piece)
-                size += pa.compute.sum(pa.compute.binary_length(piece.column(text))).as_py() or 0
+                size += pc.sum(pc.binary_length(piece.column(text))).as_py() or 0
                 if size >= block_bytes or sum(x.num_rows for x in held) >= 20_000:
                     yield flush()
         if held:

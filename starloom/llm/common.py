@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def cut(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[p
         if size <= most:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         ends, start, total = np.cumsum(lengths), 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, total + most, "right")))
@@ -137,7 +138,7 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         values = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
-        values = pa.compute.fill_null(values, b"")
+        values = pc.fill_null(values, b"")
         if isinstance(values, pa.ChunkedArray):
             values = values.combine_chunks()
         offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
