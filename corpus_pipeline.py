@@ -1,10 +1,68 @@
-"""The corpus pipeline; its stages are added below as their operators are written."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Each stage works on every row its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starloom.llm.common import fresh_folder
+from starloom.llm.contamination import find_contamination
+from starloom.llm.language import UNKNOWN, identify, learn
+from starloom.llm.packing import pack_documents
+from starloom.llm.simhash import near_duplicates, one_of_each
+from starloom.llm.substring import dedup_substrings
+
+#: Tokenizer files and other models are outside of SQL's reach.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    found = identify(docs, learn(docs))
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    return one_of_each(near_duplicates(docs, shingle=4, distance=4)).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages that stand more than once go; texts without such stay as they are."""
+    found = dedup_substrings(docs, window=35)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return found.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of the benchmark go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
+    return found.where("NOT contaminated").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2,048 tokens, their pieces with the ids."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end=1)
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = fresh_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

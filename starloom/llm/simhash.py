@@ -313,8 +313,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, distance: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all, if None) with fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
-    keep = carried(df, keep, ("fingerprint", "component_id", PRINT))
+    """``keep`` columns (all, if None) with fingerprint (16 hex digits), component_id, the smallest id that links
+    reach, and component_print, the smallest fingerprint (signed) that they reach."""
+    keep = carried(df, keep, ("fingerprint", "component_id", "component_print", PRINT))
     source = df.withColumn(ID, F.col(doc_id))
     prints = stage(fingerprints(source, text, shingle, [*keep, ID]), "fingerprints")
     distinct = prints.groupBy(F.col(PRINT).alias("print")).agg(F.min(ID).alias("least"))
@@ -323,6 +324,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     roots = components(links_between(distinct, distance, shards))
     rooted = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    lookup = rooted.join(smallest, "root").select(F.col("print").alias(PRINT), "component_id")
+    lookup = rooted.join(smallest, "root").select(F.col("print").alias(PRINT), "component_id", F.col("root").alias("component_print"))
     out = prints.join(lookup, PRINT)
-    return out.select(*keep, F.lower(F.lpad(F.hex(PRINT), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(*keep, F.lower(F.lpad(F.hex(PRINT), 16, "0")).alias("fingerprint"), "component_id", "component_print")
+
+
+def one_of_each(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component of ``near_duplicates``: that with the smallest id, any one of equal ids."""
+    least = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    return least.dropDuplicates(["component_print"]).drop("fingerprint", "component_id", "component_print")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 
 from starloom.llm import simhash
-from starloom.llm.simhash import decode, fingerprint, join_keys, link_shard, link_shard_by_middle, near_duplicates
+from starloom.llm.simhash import decode, fingerprint, join_keys, link_shard, link_shard_by_middle, near_duplicates, one_of_each
 
 
 def brute_print(text):
@@ -93,14 +93,16 @@ def test_query_against_brute_force(spark, folder):
     expected_prints = [(r.doc_id, brute_print(r.text)) for r in docs.orderBy("doc_id").collect()]
     root = brute_components([p for _, p in expected_prints])
     expected = {(i, f"{p:016x}", expected_prints[r][0]) for (i, p), r in zip(expected_prints, root, strict=True)}
-    assert {tuple(r) for r in near_duplicates(docs, keep=["doc_id"]).collect()} == expected
+    assert {tuple(r) for r in near_duplicates(docs, keep=["doc_id"]).drop("component_print").collect()} == expected
 
 
 def test_odd_and_empty_tables(odd_documents, no_documents):
     got = near_duplicates(odd_documents)
-    assert got.columns == ["doc_id", "text", "lang", "n_words", "fingerprint", "component_id"] and got.count() == 10
+    assert got.columns == ["doc_id", "text", "lang", "n_words", "fingerprint", "component_id", "component_print"] and got.count() == 10
     by_text = {(r.text, r.component_id) for r in got.collect()}
     assert (None, 2) in by_text and ("", 2) in by_text and ("no id here, but words", None) in by_text
+    left = one_of_each(got).collect()
+    assert sorted((r.doc_id or 0) for r in left) == [0, 1, 2, 5, 6, 7] and one_of_each(got).columns == odd_documents.columns
     assert near_duplicates(no_documents).count() == 0
     clash = odd_documents.withColumnRenamed("lang", "print").withColumnRenamed("n_words", "root")
     assert near_duplicates(clash).count() == 10
