@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, stage
+from .common import cut, group_arrow, map_arrow, stage
 
 #: Text bytes of a block, and what one shard of the hash space is made for.
 BLOCK_BYTES = 6 << 20
@@ -103,7 +103,7 @@ def answer(sent: DataFrame, reduce: Callable[[list[bytes]], list[bytes]]) -> Dat
             {"shard": table.column("shard"), "block": table.column("block"), "body": pa.array(reduce(bodies), pa.binary())}
         )
 
-    replies = sent.groupBy("shard").applyInArrow(run, "shard int, block long, body binary")
+    replies = group_arrow(sent, "shard", run, "shard int, block long, body binary")
     return replies.groupBy("block").agg(F.collect_list(F.struct("shard", "body")).alias("answers"))
 
 

@@ -10,6 +10,8 @@ Rules that hold for every operator of this subpackage unless its docstring says
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -73,9 +75,39 @@ def carried(df: DataFrame, keep: list[str] | None, results: Iterable[str]) -> li
     return [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waiting for its next task holds nothing of the last one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside of glibc
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers give memory back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def group_arrow(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+    """``applyInArrow`` on the groups of ``key`` whose workers give memory back after each group."""
+    ship(df.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            give_back()
+
+    return df.groupBy(key).applyInArrow(run, schema)
 
 
 def text_bytes(df: DataFrame, text: str) -> int:

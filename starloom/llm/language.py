@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, carried, cut, discard, map_arrow, stage
+from .common import LOWER, carried, cut, discard, group_arrow, map_arrow, stage
 
 MIN_RATE = 1e-5
 CLOSE = 0.5
@@ -164,7 +164,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
         chosen = {name: keys[(r >= MIN_RATE) & (r >= CLOSE * most)] for name, r in rate.items()}
         return pa.table({"lang": list(chosen), "keys": pa.array([k.tobytes() for k in chosen.values()], pa.binary())})
 
-    chosen = counted.groupBy("shard").applyInArrow(choose, "lang string, keys binary").collect()  # at most 1 / MIN_RATE n-grams for each language
+    chosen = group_arrow(counted, "shard", choose, "lang string, keys binary").collect()  # at most 1 / MIN_RATE n-grams for each language
     discard(counted)
     sizes = {name: 0 for name in languages}
     for r in chosen:

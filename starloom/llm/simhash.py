@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, carried, cut, discard, map_arrow, stage
+from .common import U64, Words, carried, cut, discard, group_arrow, map_arrow, stage
 
 #: Segments as (shift, bits).
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -174,7 +174,7 @@ def link_shard(prints: np.ndarray, keys: np.ndarray, distance: int) -> tuple[np.
             small.setdefault(b - a, []).append(a)
     for size, starts in small.items():
         i, j = np.triu_indices(size, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for at in range(0, len(starts), step):
             members = rows[np.array(starts[at : at + step])[:, None] + np.arange(size)]
             x, y = members[:, i], members[:, j]
@@ -235,7 +235,7 @@ def links_between(distinct: DataFrame, distance: int, shards: int) -> DataFrame:
             prints.append(raw[: 8 * n].view(U64)), keys.append(raw[8 * n :].view(np.uint32))
         return _links(*link_shard(np.concatenate(prints), np.concatenate(keys), distance))
 
-    found = map_arrow(distinct.select("print"), key_rows, "shard int, body binary").groupBy("shard").applyInArrow(link_rows, LINKS)
+    found = group_arrow(map_arrow(distinct.select("print"), key_rows, "shard int, body binary"), "shard", link_rows, LINKS)
     found = stage(found.distinct(), "simhash-links")
     links = found.where("NOT crowd").select("a", "b")
     crowd = found.where("crowd").select(F.col("a").alias("print")).distinct()
@@ -258,7 +258,7 @@ def links_between(distinct: DataFrame, distance: int, shards: int) -> DataFrame:
             prints.append(both[: len(both) // 2]), middles.append(both[len(both) // 2 :])
         return _links(*link_shard_by_middle(np.concatenate(prints), np.concatenate(middles), distance), np.zeros(0, U64))
 
-    more = map_arrow(crowd, middle_rows, "shard int, body binary").groupBy("shard").applyInArrow(middle_links, LINKS)
+    more = group_arrow(map_arrow(crowd, middle_rows, "shard int, body binary"), "shard", middle_links, LINKS)
     return links.unionByName(more.select("a", "b")).distinct()
 
 
