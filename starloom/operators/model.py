@@ -8,11 +8,12 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import as_col, hash_bucket
+from ..functions.semantics import as_col, hash_bucket, md5_of
 from .aggregate import numeric_columns
-from .ordered import OrderedGroups
+from .ordered import OrderedGroups, hash_ordered_position
 from .select import assembled
 from .stage import FeatureStage, FittedStage
+from .tables import materialise
 
 
 class BoostedTrees(FeatureStage):
@@ -20,7 +21,10 @@ class BoostedTrees(FeatureStage):
 
     ``select_rounds``: "cv" picks the round with the least mean loss over folds and refits
     on all rows; "holdout" stops on a held-out share; "none" uses ``rounds`` as given.
-    ``patience`` ends the search that many rounds after the last improvement.
+    ``patience`` ends the search that many rounds after the last improvement.  With ``metric`` "auc"
+    (two classes) the round with the best area under the curve is taken instead of the least loss.
+    Folds are even, and for classes even within each class.  Labels of classes are 0, 1, 2, ...;
+    with more than two, ``select_rounds`` must be "none" and ``positive_weight`` 1.
     """
 
     def __init__(
@@ -43,6 +47,7 @@ class BoostedTrees(FeatureStage):
         min_child_rows=1,
         min_split_gain=0.0,
         positive_weight=1.0,
+        metric="loss",
     ):
         config = dict(locals())
         for name in ("self", "__class__"):
@@ -74,14 +79,25 @@ class BoostedTrees(FeatureStage):
         data = dataset.where(as_col(c["label"]).isNotNull())
         weight = F.when(as_col(c["label"]) > 0, F.lit(float(c["positive_weight"]))).otherwise(F.lit(1.0))
         row_key = [c["key"]] if c["key"] else columns
-        held = (hash_bucket(row_key, 10_000, c["seed"]) < F.lit(int(10_000 * c["test_share"]))).alias("held")
-        fold = hash_bucket(row_key, c["folds"], f"cv{c['seed']}").alias("fold")
+        held = (hash_bucket(row_key, 10_000, c["seed"]) < F.lit(round(10_000 * c["test_share"]))).alias("held")
+        data = data.withColumn("__hash", md5_of(row_key, f"cv{c['seed']}")).withColumn("__one", F.lit(0))
+        classed = c["problem"] == "classification"
+        data = hash_ordered_position(data, [c["label"]] if classed else ["__one"], "__hash", "__fold")
+        fold = (F.col("__fold") % c["folds"]).cast("int").alias("fold")
         vectors = assembled(data, columns).select("features", as_col(c["label"]).cast("double").alias("label"), weight.alias("weight"), held, fold)
+        vectors = materialise(vectors)
         state = {"columns": columns, "rounds": c["rounds"], "history": []}
         classes = 2
-        if c["problem"] == "classification":
-            classes = int(vectors.agg(F.max("label")).first()[0] or 0) + 1
+        if classed:
+            low, high, whole = vectors.agg(F.min("label"), F.max("label"), F.max(F.abs(F.col("label") - F.round("label")))).first()
+            if (low or 0) < 0 or (whole or 0) > 0:
+                raise ValueError("labels of classes must be 0, 1, 2, ...")
+            classes = int(high or 0) + 1
         state["classes"] = classes
+        if classes > 2 and (c["select_rounds"] != "none" or c["positive_weight"] != 1.0):
+            raise ValueError("with several classes set select_rounds to 'none' and positive_weight to 1")
+        if c["metric"] not in ("loss", "auc") or c["metric"] == "auc" and (not classed or classes > 2):
+            raise ValueError("metric is 'loss', or 'auc' for two classes")
         if classes > 2:
             model = OneVsRest(classifier=self._trees(c["rounds"]), featuresCol="features", labelCol="label").fit(vectors)
         elif c["select_rounds"] == "cv":
@@ -93,9 +109,10 @@ class BoostedTrees(FeatureStage):
             state["history"], state["rounds"] = mean, best_round(mean, c["patience"])
             model = self._trees(state["rounds"]).fit(vectors)
         elif c["select_rounds"] == "holdout":
-            trees = self._trees(c["rounds"]).setParams(validationIndicatorCol="held", validationTol=0.0)
-            model = trees.fit(vectors)
-            state["rounds"] = len(model.trees)
+            rest = vectors.where("NOT held")
+            losses = self._losses(self._trees(c["rounds"]).fit(rest), vectors.where("held"))
+            state["history"], state["rounds"] = losses, best_round(losses, c["patience"])
+            model = self._trees(state["rounds"]).fit(rest)
         else:
             model = self._trees(c["rounds"]).fit(vectors)
         out = BoostedTreesModel(c, state)
@@ -103,9 +120,19 @@ class BoostedTrees(FeatureStage):
         return out
 
     def _losses(self, model, rows: DataFrame) -> list[float]:
+        """What is to be small, after each round; with the area under the curve, its negative."""
         if self.config["problem"] == "regression":
             return list(model.evaluateEachIteration(rows, "squared"))
-        return list(model.evaluateEachIteration(rows))
+        if self.config["metric"] == "loss":
+            return list(model.evaluateEachIteration(rows))
+        margins, total = [], F.lit(0.0)
+        scored = rows.select("features", "label")
+        for i, tree in enumerate(model.trees):
+            scored = tree.setPredictionCol(f"t{i}").transform(scored)
+            total = total + F.lit(float(model.treeWeights[i])) * F.col(f"t{i}")
+            margins.append(total.alias(f"m{i}"))
+        scored = materialise(scored.select("label", *margins))
+        return [-(roc_auc(scored, "label", f"m{i}").first()["auc"] or 0.0) for i in range(len(margins))]
 
 
 def best_round(losses: list[float], patience: int = -1) -> int:

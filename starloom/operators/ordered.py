@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.semantics import as_col
-from .tables import HotKeys, SizedTable, keyed_frame
+from .tables import ROWS_PER_TASK, HotKeys, SizedTable, keyed_frame, materialise
 
 SAMPLES_PER_CHUNK = 50
 # Cuts are searched in two steps: first among the blocks, then inside one block.
@@ -41,7 +41,8 @@ class OrderedGroups:
         self.df, self.keys = df, list(keys)
         self.order = [(o.lstrip("-"), o.startswith("-")) for o in order]
         self.hot = HotKeys.of(df, self.keys, rows_per_task=rows_per_task) if hot is None else hot
-        self.rows = self._cut_into_chunks() if self.hot else df
+        # every operator reads the chunks twice: they are written once
+        self.rows = materialise(self._cut_into_chunks()) if self.hot else df
 
     # -- windows -----------------------------------------------------------------
 
@@ -279,10 +280,13 @@ def cumulative_levels(df: DataFrame, column: str, rows_per_task: int | None = No
 def hash_ordered_position(df: DataFrame, groups: list[str], hash_col: str, name: str) -> DataFrame:
     """0-based position within each group in the order of an md5 column.
 
-    md5 prefixes cut every group into 4096 even chunks, so no task holds a whole group
-    however few groups there are.
+    md5 prefixes cut every group into even chunks, 4096 or as many more as keep a chunk
+    below ROWS_PER_TASK rows, so no task holds a whole group however few groups there are.
     """
-    cut = df.withColumn("__chunk", F.conv(F.substring(as_col(hash_col), 1, 3), 16, 10).cast("int"))
+    rows, digits = df.count(), 3
+    while rows // 16**digits > ROWS_PER_TASK:
+        digits += 1
+    cut = df.withColumn("__chunk", F.conv(F.substring(as_col(hash_col), 1, digits), 16, 10).cast("long"))
     keys = list(groups) + ["__chunk"]
     w = W.partitionBy(*map(as_col, keys)).orderBy(as_col(hash_col))
     local = cut.withColumn(name, (F.row_number().over(w) - 1).cast("long"))

@@ -6,7 +6,7 @@ import json
 from importlib import import_module
 from typing import Any
 
-from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import SparkSession
 
@@ -99,3 +99,21 @@ class PlainStage(Saved, Transformer):
     def __init__(self, **config):
         super().__init__()
         self._init_saved(config)
+
+
+def on_training_rows(model: Transformer, df):
+    """What a fitted stage makes of the rows it was fitted on."""
+    return model.transform_training(df) if hasattr(model, "transform_training") else model.transform(df)
+
+
+class TrainingPipeline(Pipeline):
+    """A ``Pipeline`` whose later stages are fitted on training values, such as leave-one-out means."""
+
+    def _fit(self, dataset) -> PipelineModel:
+        fitted, stages = [], self.getStages()
+        for i, stage in enumerate(stages):
+            model = stage.fit(dataset) if isinstance(stage, Estimator) else stage
+            fitted.append(model)
+            if i < len(stages) - 1:
+                dataset = on_training_rows(model, dataset)
+        return PipelineModel(fitted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..functions.sqltext import lookup, name
 
 # Largest table, in rows, that is broadcast or kept on the driver.
 BROADCAST_ROWS = 100_000
+# ... and the most bytes its texts may hold.
+BROADCAST_BYTES = 16 << 20
 # Largest table that becomes a map inside the expression, without a join.
 MAP_ROWS = 64
 # A key with more rows than this (or than 1/2000 of all rows) is split over tasks.
@@ -32,15 +35,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared folder and go on from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def rows_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> list | None:
-    """The rows when there are at most ``limit`` of them, else None."""
+    """Write the rows once, as Parquet in the shared folder, and go on from there."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))  # one folder for the session
+    path = f"{checkpoint_folder(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    # column names of Parquet may not clash or hold some signs that names of features do
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def rows_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, *, most_bytes: int = BROADCAST_BYTES) -> list | None:
+    """The rows when there are at most ``limit`` of them and their texts hold at most ``most_bytes``, else None."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if texts:
+        size = sum((F.coalesce(F.octet_length(as_col(c)), F.lit(0)) for c in texts), F.lit(0))
+        rows, found = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        if rows > limit or found > most_bytes:
+            return None
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 

@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import as_col, hash_bucket, md5_of
@@ -77,13 +77,41 @@ class CrossValidation:
     whole: DataFrame
 
 
-def fold_metrics(df: DataFrame, by: list[str], label: str, metrics: dict[str, str]) -> DataFrame:
-    """Metrics per group; ``metrics`` maps output name -> "auc" or "r2"."""
-    plain = [r2_percent(label, "prediction").alias(n) for n, kind in metrics.items() if kind == "r2"]
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *plain)
+def _clipped(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+
+
+#: Metrics known by name, as aggregates of (label, prediction); for two classes the prediction is a probability.
+METRICS = {
+    "r2": r2_percent,
+    "mae": lambda y, p: F.avg(F.abs(y - p)),
+    "mse": lambda y, p: F.avg((y - p) * (y - p)),
+    "rmse": lambda y, p: F.sqrt(F.avg((y - p) * (y - p))),
+    "log_loss": lambda y, p: -F.avg(y * F.log(_clipped(p)) + (1 - y) * F.log(_clipped(1 - p))),
+    "accuracy": lambda y, p: F.avg((F.when(p >= 0.5, 1.0).otherwise(0.0) == y).cast("double")),
+}
+
+
+def fold_metrics(df: DataFrame, by: list[str], label: str, metrics: dict) -> DataFrame:
+    """Metrics per group.
+
+    ``metrics`` maps an output name to "auc", a name in METRICS, or a function of the label and prediction
+    columns that gives an aggregate; a pair (function, "class") gets the predicted class instead of the probability.
+    """
+    plain, curves = [], []
     for n, kind in metrics.items():
         if kind == "auc":
-            out = out.join(roc_auc(df, label, "prediction", by, n), by, "left")
+            curves.append(n)
+            continue
+        wanted, kind = ("class", kind[0]) if isinstance(kind, tuple) and kind[1] == "class" else ("score", kind[0] if isinstance(kind, tuple) else kind)
+        if isinstance(kind, str) and kind not in METRICS:
+            raise ValueError(f"no metric is called {kind!r}; known are auc, {', '.join(METRICS)}")
+        y, p = as_col(label).cast("double"), F.col("prediction").cast("double")
+        p = F.when(p >= 0.5, 1.0).otherwise(0.0) if wanted == "class" else p
+        plain.append((METRICS[kind] if isinstance(kind, str) else kind)(y, p).alias(n))
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *plain)
+    for n in curves:
+        out = out.join(roc_auc(df, label, "prediction", by, n), by, "left")
     return out
 
 
@@ -92,7 +120,7 @@ def cross_validate(
     df: DataFrame,
     key: str,
     label: str,
-    metrics: dict[str, str],
+    metrics: dict,
     k: int = 5,
     seeds=(0,),
     stratified: bool = True,
