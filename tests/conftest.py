@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-FOLDER = "/root/testdata/sf0.001"
+from compare import FOLDER  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 """Every registered query with SQL gives the same columns, types and rows."""
 
 import pytest
-from compare import database, difference
-from conftest import FOLDER
+from compare import FOLDER, database, difference
 
 from starloom.suite import ORACLES, QUERIES
 
