@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts
 from .contamination import find_contamination
 from .hosts import DAMPING, ROUNDS, SEED_SHARE, THRESHOLD, judge_urls
 from .language import held_out, identify, learn
@@ -173,3 +174,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 7)
     scored = train_and_score(table(spark, folder, "documents"), ~out, keep=["doc_id"])
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_bpe_stream")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = decode_ids(encode_texts(table(spark, folder, "documents"), tokenizer, keep=["doc_id"]), tokenizer)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
