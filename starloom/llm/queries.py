@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
+from .collocations import collocations
 from .contamination import find_contamination
 from .hosts import DAMPING, ROUNDS, SEED_SHARE, THRESHOLD, judge_urls
 from .language import held_out, identify, learn
@@ -181,3 +182,27 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     decoded = decode_ids(encode_texts(table(spark, folder, "documents"), tokenizer, keep=["doc_id"]), tokenizer)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+COLLOCATION_SQL = r"""
+with t as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as w from t),
+s as (select lang, w, unnest(range(1, len(w) + 1)) as i from w where len(w) > 0),
+p as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) as k from s)),
+f as materialized (select lang, k, phrase, count(*) as a from p group by all having count(*) >= 100),
+m as (select lang, count(*) as n from s group by lang),
+c as (select * from f where k > 1),
+x as (select lang, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' ')]) as phrase, a from c where k > 2),
+g as (select c.* from c left join (select lang, phrase, max(a) as most from x group by all) y using (lang, phrase) where most is null or 100 * most < 100 * a),
+u as (select lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') as head, array_to_string(string_split(phrase, ' ')[j + 1:k], ' ') as tail from (select *, unnest(range(1, k)) as j from g)),
+v as (select u.lang, u.phrase, u.a, j, h.a as l, t.a as r, n, ((1000 * u.a::hugeint * n::hugeint) // (h.a::hugeint * t.a::hugeint))::bigint as score
+      from u join f h on h.lang = u.lang and h.phrase = head join f t on t.lang = u.lang and t.phrase = tail join m on m.lang = u.lang),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as o from v) where o = 1),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select lang, rank, phrase, a, l, r, n, score from z where rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"), least=100, best=2_000)
