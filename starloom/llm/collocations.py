@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, U64, cut, map_arrow, mix, stage
+from .common import LOWER, U64, coded, cut, flat, map_arrow, mix, spans, stage
 
 #: Words of the longest phrase.
 DEPTH = 5
@@ -62,25 +62,13 @@ class Pieces:
     """The words of a batch as numbers, with how many words are left in each piece."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
-        values = pc.fill_null(texts.cast(pa.large_binary()), b"")
-        offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-        raw = values.buffers()[2]
-        data = LOWER[np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]] if raw is not None and len(offsets) else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
+        data, offsets = flat(texts)
+        data = LOWER[data]
         kind = KIND[data]
-        solid = kind == 0
-        begins, ends = solid.copy(), solid.copy()
-        begins[1:] &= ~solid[:-1]
-        ends[:-1] &= ~solid[1:]
-        inner = offsets[1:-1]
-        inner = inner[(inner > 0) & (inner < len(data))]
-        begins[inner], ends[inner - 1] = solid[inner], solid[inner - 1]
-        start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        edges = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(data[solid].tobytes())])
-        coded = words.dictionary_encode()
-        self.names = coded.dictionary
-        self.word = coded.indices.to_numpy().astype(np.int64)
+        start, stop = spans(kind == 0, offsets)
+        words = coded(data, kind == 0, start, stop)
+        self.names = words.dictionary
+        self.word = words.indices.to_numpy().astype(np.int64)
         text = np.searchsorted(offsets, start, "right") - 1
         langs = langs.dictionary_encode()
         self.langs = langs.dictionary.to_pylist()
@@ -253,8 +241,8 @@ def _routed_counts(table: pa.Table, depth: int, least: int) -> Iterator[pa.Recor
     """Counts of the phrases of three words or more among routed suffixes; those shorter than the route are partial."""
     phrases = table.column("phrase").combine_chunks()
     split = pc.split_pattern(phrases, " ")
-    coded = split.flatten().dictionary_encode()
-    words, edges = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+    numbers = split.flatten().dictionary_encode()
+    words, edges = numbers.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
     edges = edges - edges[0]
     reach, weight = np.diff(edges), table.column("n").to_numpy()
     langs, route = table.column("lang").combine_chunks(), table.column("route").to_numpy().astype(np.int64)

@@ -16,10 +16,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,37 +159,51 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-BYTE_VALUE = mix(np.arange(256, dtype=U64), 7)
+
+
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts one after the other, where each text starts and the end); null is empty."""
+    values = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
+    values = pc.fill_null(values, b"")
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = values.buffers()[2]
+    if not len(values) or raw is None or not len(raw):
+        return np.zeros(0, np.uint8), np.zeros(len(values) + 1, np.int64)
+    return np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of the runs of solid bytes; no run goes on from one text to the next."""
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(solid))]
+    begins[inner] = solid[inner]
+    ends[inner - 1] = solid[inner - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def coded(data: np.ndarray, solid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.DictionaryArray:
+    """The runs as numbers of distinct byte strings; equal numbers are equal bytes."""
+    edges = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(data[solid].tobytes())]).dictionary_encode()
 
 
 class Words:
     """The words of many texts as flat arrays.
 
-    ``start``/``stop`` are byte ranges in ``data``, ``first[d]:first[d+1]`` are the words of text d.
-    ``lower`` lower-cases A-Z in the bytes before they are hashed or cut out.
+    ``start``/``stop`` are byte ranges in ``data``, ``first[d]:first[d+1]`` are the words of text d,
+    ``number`` says which of the distinct ``names`` each word is.  ``lower`` lower-cases A-Z.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        values = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
-        values = pc.fill_null(values, b"")
-        if isinstance(values, pa.ChunkedArray):
-            values = values.combine_chunks()
-        offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-        raw = values.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(raw) else np.zeros(0, np.uint8)
+        data, self.offsets = flat(texts)
         self.data = LOWER[data] if lower else data
-        self.offsets = offsets - offsets[0]
-        solid = ~SPACE[self.data]
-        begins, ends = solid.copy(), solid.copy()
-        begins[1:] &= ~solid[:-1]
-        ends[:-1] &= ~solid[1:]
-        inner = self.offsets[1:-1]
-        inner = inner[(inner > 0) & (inner < len(self.data))]
-        begins[inner] = solid[inner]  # a text's first byte never continues the text before
-        ends[inner - 1] = solid[inner - 1]
-        self.start = np.flatnonzero(begins)
-        self.stop = np.flatnonzero(ends) + 1
+        self.solid = ~SPACE[self.data]
+        self.start, self.stop = spans(self.solid, self.offsets)
         self.first = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:
@@ -197,29 +213,42 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    @cached_property
+    def coded(self) -> pa.DictionaryArray:
+        return coded(self.data, self.solid, self.start, self.stop)
+
+    @cached_property
+    def names(self) -> list[bytes]:
+        return self.coded.dictionary.to_pylist()
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        return self.coded.indices.to_numpy().astype(np.int64)
+
+    def name_hashes(self) -> np.ndarray:
+        """XXH64 of each distinct word."""
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.names), U64, len(self.names))
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial over random byte values, then mixed."""
-        out = np.zeros(len(self.start), U64)
-        step = 1 << 22
-        at = 0
-        while at < len(self.start):  # pieces of about ``step`` bytes keep the working arrays small
-            to = max(at + 1, int(np.searchsorted(self.stop, self.start[at] + step, "right")))
-            a, b = self.start[at:to], self.stop[at:to]
-            low, high = int(a[0]), int(b[-1])
-            power, inverse = odd_powers(BYTE_BASE, high - low)
-            sums = np.zeros(high - low + 1, U64)
-            np.cumsum(BYTE_VALUE[self.data[low:high]] * power[:-1], out=sums[1:])
-            out[at:to] = (sums[b - low] - sums[a - low]) * inverse[a - low]
-            at = to
-        return mix(out + (self.stop - self.start).astype(U64))
+        """XXH64 of each word's bytes."""
+        return self.name_hashes()[self.number]
 
     def bytes_of(self, which: np.ndarray) -> list[bytes]:
-        raw = self.data.tobytes()
-        return [raw[a:b] for a, b in zip(self.start[which].tolist(), self.stop[which].tolist(), strict=True)]
+        return [self.names[i] for i in self.number[which].tolist()]
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(all words joined by one space, where each word starts and ends in there)."""
+        size = self.stop - self.start
+        end = np.cumsum(size + 1) - 1
+        out = np.full(end[-1] + 1 if len(end) else 0, 32, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[end] = False
+        out[inside] = self.data[self.solid]
+        return out.tobytes(), end - size, end
 
 
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Polynomial hash of every ``width`` consecutive values (modulo 2**64)."""
+    """Polynomial of every ``width`` consecutive values modulo 2**64: equal runs have equal values, but some unequal ones do, too."""
     n = len(values)
     if n < width:
         return np.zeros(0, U64)

@@ -1,7 +1,7 @@
 """Substring dedup with a count-min prefilter.
 
 Pass 1 builds one sketch per block of documents and merges them by shards of the hash space; pass 2
-groups exactly, by a 128-bit hash of its word sequence, only the windows whose merged estimate is two
+groups exactly, by a cryptographic 128-bit digest (BLAKE2b) of its words, only the windows whose merged estimate is two
 or more.  The estimate never falls below a window's true count, so no repeated window is lost.
 
 What a sketch counts for a window is its anchor: the smallest hash among its runs of ANCHOR words.
@@ -17,6 +17,7 @@ keeps all; repeated rows are texts of their own, so both lose the windows they s
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import U64, Words, carried, mix, rolling, sliding, stage, text_byte
 ANCHOR = 8
 #: Counters in one row of one shard's sketch, as a power of two; a shard is made for about 200,000 anchors.
 CELL_BITS = 22
-FIRST_BASE, SECOND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+BASE = 0xD6E8FEB86659FD93
 
 
 class Windows:
@@ -52,7 +53,7 @@ class Windows:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(anchor of each window start, anchors at every place where one stands)."""
         width = min(ANCHOR, self.window)
-        runs = mix(rolling(self.hashes, width, FIRST_BASE), 1) | U64(1)
+        runs = mix(rolling(self.hashes, width, BASE), 1) | U64(1)
         runs[self.left[: len(runs)] < width] = U64(2**64 - 1)
         span = self.window - width + 1
         least = sliding(runs, span, least=True)
@@ -62,10 +63,13 @@ class Windows:
         return own, runs[stands]
 
     def keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit hashes of the windows that start at the given places."""
-        a = rolling(self.hashes, self.window, FIRST_BASE)[which]
-        b = rolling(mix(self.hashes, 3), self.window, SECOND_BASE)[which]
-        return mix(a, 4), mix(b, 5)
+        """128-bit BLAKE2b digests, in two halves, of the windows that start at the given places: their words joined by one space."""
+        raw, start, end = self.words.joined()
+        view = memoryview(raw)
+        begin, stop = start[which].tolist(), end[which + self.window - 1].tolist()
+        digests = b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin, stop, strict=True))
+        halves = np.frombuffer(digests, U64).reshape(-1, 2)
+        return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _shard(values: np.ndarray, shards: int) -> np.ndarray:
@@ -104,8 +108,9 @@ def merge_sketches(bodies: list) -> list[bytes]:
         more = unbits(raw[8 * n :].tobytes(), n)
         parsed.append(cells)
         for r in (0, 1):
-            np.add.at(rows[r], cells[r], more.astype(np.uint8) + np.uint8(1))
-            np.minimum(rows[r], 2, out=rows[r])  # two is all that is asked
+            cell, number = np.unique(cells[r], return_inverse=True)
+            gain = np.minimum(np.bincount(number, weights=more + 1.0), 2).astype(np.uint8)  # two is all that is asked
+            rows[r][cell] = np.minimum(rows[r][cell] + gain, 2)
     return [bits(np.minimum(rows[0][c[0]], rows[1][c[1]]) >= 2) for c in parsed]
 
 

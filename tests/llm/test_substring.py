@@ -85,3 +85,28 @@ def test_odd_and_empty_tables(odd_documents, no_documents):
     assert all(r.n_removed == 0 for r in rows if r.doc_id != 5) and all(r.kept == "" for r in rows if r.text is None)
     assert dedup_substrings(no_documents).count() == 0
     assert dedup_substrings(odd_documents.withColumnRenamed("lang", "block"), window=3).count() == 10
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_whose_polynomials_are_equal_differ(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    words = Words(pa.array([f"{one} {other}"]))
+    assert len(set(words.hashes().tolist())) == 2
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}")], "id long, text string")
+    assert [r.n_removed for r in dedup_substrings(docs, window=35, keep=["id"]).collect()] == [0, 0]
+    rows = [" ".join(x for x in (one, other)[i % 2 : i % 2 + 1] for _ in range(35)) for i in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    assert [r.n_removed for r in dedup_substrings(docs, window=35, keep=["id"]).collect()] == [0, 0]
+
+
+def test_sketch_counts_many_anchors_of_one_cell(monkeypatch):
+    monkeypatch.setattr(substring, "CELL_BITS", 1)
+    block = Windows(pa.array([" ".join(f"w{i}" for i in range(3_000))]), 10)
+    body = dict(substring.block_sketch(block, 1))[0]
+    answer = substring.merge_sketches([body])[0]
+    assert len(substring.estimated(block, {0: answer}, 1)) == 2_991  # some hundreds of anchors share each cell
