@@ -7,8 +7,9 @@ words.  The set is broadcast while it has at most BROADCAST_GRAMS windows; beyon
 shuffles by hash.
 
 A document is known by its id and the hash of its text, so ids may be null or repeated; rows equal in
-both get equal results.  Null, empty and wordless texts have no windows and are clean.  Items that are
-null, empty, wordless or repeated add nothing.  With no items every document is clean.
+both get equal results.  Null, empty and wordless texts have no windows and are clean.  Items whose text is
+null, empty or wordless, and repeated items, add nothing.  An item without an id hits like any other, but is not
+among the named items.  With no items every document is clean.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def hits(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
         w = w.where("i IS NOT NULL").select("__id", "__text", "i", F.xxhash64(*run).alias("h"), F.concat_ws(" ", *run).alias("seen"))
         g = grams.where(F.col("length") == length).select(F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(length)]).alias("h"), "gram", "items")
         g = g.hint("broadcast") if grams._small else g
-        one = w.join(g, "h").where("seen = gram").select("__id", "__text", (F.col("i") + 1).alias("first"), (F.col("i") + length).alias("last"), F.explode("items").alias("item"))
+        one = w.join(g, "h").where("seen = gram").select("__id", "__text", (F.col("i") + 1).alias("first"), (F.col("i") + length).alias("last"), F.explode_outer("items").alias("item"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("__id", "__text").agg(
         F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")

@@ -37,3 +37,20 @@ def test_shuffled_beyond_the_broadcast_bound(spark, monkeypatch):
     expected = sorted(map(repr, find_contamination(docs, items).collect()))
     monkeypatch.setattr(contamination, "BROADCAST_GRAMS", 0)
     assert sorted(map(repr, find_contamination(docs, items).collect())) == expected
+
+
+def test_items_without_an_id_hit(spark, tmp_path):
+    import duckdb
+
+    from starloom.llm.queries import ORACLES, QUERIES
+
+    items = [(None, "x y z"), (None, "p q"), ("i1", "p q"), (None, None), ("i2", None)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "hello x y z end"), (2, "p q x y z"), (3, "q p"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op2_benchmark_decontamination"](spark, str(tmp_path)).collect())
+    assert [(r[0], r[2], r[3], r[5]) for r in got] == [(1, 3, 0, True), (2, 5, 1, True), (3, 0, 0, False), (4, 0, 0, False)]
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLES["op2_benchmark_decontamination"]).fetchall())
