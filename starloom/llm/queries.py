@@ -17,6 +17,7 @@ from .maxent import train_and_score
 from .packing import pack_documents
 from .records import new_folder, read_records, write_records
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .substring import dedup_substrings
 from .topk import top_k
 from .trie import count_tokens
@@ -206,3 +207,28 @@ select lang, rank, phrase, a, l, r, n, score from z where rank <= 2000
 @query("op11_collocations", COLLOCATION_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"), least=100, best=2_000)
+
+
+SPELLING_SQL = r"""
+with recursive step as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t),
+d as (select coalesce(doc_id::varchar, '') || ':' as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+') as w from documents),
+o as (select id, w, count(*) as n from (select id, unnest(w) as w from d) group by all),
+h as (select w, n, xor(list_reduce(flatten(list_transform(string_split(id || w, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195, unicode(c)::bigint - 64] end)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as h from o, step),
+g as (select case when h % 199 = 0 then left(w, (h % length(w))::bigint) || substr(w, (h % length(w) + 2)::bigint) else w end as word, n from h),
+v as materialized (select word, sum(n)::bigint as n from g where length(word) >= 6 group by word having sum(n) >= 5),
+x as materialized (select word, n, i, left(word, i - 1) || substr(word, i + 1) as less from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+e as (select a.word, b.word as near, b.n as m from x a join x b on a.i = b.i and a.less = b.less and a.word <> b.word
+      union select a.word, b.word, b.n from v a join x b on a.word = b.less union select b.word, a.word, a.n from v a join x b on a.word = b.less),
+k as (select word, count(*) as n_near, max(m) as m from e group by word),
+f as (select word, min(near) as form, any_value(e.m) as form_n from e join k using (word) where e.m = k.m group by word),
+j as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * v.n then form end as form, case when form_n >= 5 * v.n then form_n end as form_n from v left join k using (word) left join f using (word)),
+r(word, root) as (select word, word from j union all select r.word, j.form from r join j on j.word = r.root where j.form is not null),
+z as (select r.word, r.root from r join j on j.word = r.root where j.form is null)
+select j.word, form, root, n, n_near, form_n from j join z using (word)
+"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"), shortest=6, least=5, factor=5)
