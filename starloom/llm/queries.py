@@ -211,7 +211,7 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 
 SPELLING_SQL = r"""
 with recursive step as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t),
-d as (select coalesce(doc_id::varchar, '') || ':' as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+') as w from documents),
+d as (select coalesce(doc_id::varchar, '') || ':' as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+') as w from documents),
 o as (select id, w, count(*) as n from (select id, unnest(w) as w from d) group by all),
 h as (select w, n, xor(list_reduce(flatten(list_transform(string_split(id || w, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195, unicode(c)::bigint - 64] end)),
       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as h from o, step),
