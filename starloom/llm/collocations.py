@@ -10,13 +10,12 @@ than a pivot; the equal ones go on with the word after it, down to the maximum d
 equal at a depth is a partition, its size the count of that prefix.
 
 1. Words are counted; a bitmap of the hashes of frequent ones tells every task what can't start a phrase.
-2. Pointers are sorted to depth two in each batch, and the counts of leading pairs added over all batches.  They
-   are the counts of phrases of two words and, as a second bitmap, the routing table.
-3. A suffix reaches as far as its pairs are frequent.  Those of three words or more are sorted to depth
-   five in each batch, where equal ones become one row with their number, added over all batches, and routed
-   by their leading words: ROUTE words, or more where a lead has over CROWD distinct suffixes.  Each
-   route is sorted once more, partitions below the least count are abandoned, the others are the counts.  Prefixes shorter than a
-   route are partial counts, which are added at the end.
+2. The hashes of pairs of frequent words are counted (``keycounts``), and a bitmap of the frequent ones says where suffixes
+   may start and how far they reach: as far as their pairs are frequent.
+3. Suffixes of two words or more are sorted to depth five in each batch, where equal ones become one row with their
+   number, added over all batches, and routed by their leading words: ROUTE words, or more where a lead has over
+   CROWD distinct suffixes.  Each route is sorted once more; partitions below the least count are abandoned, the
+   others are the counts.  Prefixes shorter than a route are partial counts, which are added at the end.
 
 A bitmap has at most 2**MOST_BITS bits whatever the input; false positives only let more pointers pass.
 So no count is lost, equal suffixes are added before they travel, and no task gets more than CROWD
@@ -27,7 +26,6 @@ compared by their bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import LOWER, U64, coded, cut, flat, map_arrow, mix, spans, stage
+from .keycounts import KEY_BITS, frequent_keys
 
 #: Words of the longest phrase.
 DEPTH = 5
 #: Leading words that route a suffix, and distinct suffixes of one lead beyond which one more word does.
-ROUTE, CROWD = 3, 200_000
+ROUTE, CROWD = 2, 200_000
 #: Distinct suffixes of one reducing task.
 ROUTED = 400_000
 #: Bits of a bitmap for each entry, and the most bits as a power of two.
 BITS_EACH, MOST_BITS = 16, 28
 #: Text bytes worked on at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Groups among which a language's best phrases are found first.
 HEADS = 64
 #: Bytes that end a piece, and bytes between words.
@@ -173,7 +172,7 @@ class Bitmap:
 
 
 def pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return mix(one + mix(two, 31), 32)
+    return mix(one + mix(two, 31), 32) >> U64(64 - KEY_BITS)
 
 
 def frequent_pairs(pieces: Pieces, words: Bitmap) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +184,6 @@ def frequent_pairs(pieces: Pieces, words: Bitmap) -> tuple[np.ndarray, np.ndarra
     return at, pair_hash(one[at], one[at + 1]) if len(at) else np.zeros(0, U64)
 
 
-def _rows(pieces: Pieces, at: np.ndarray, depth: np.ndarray, counts: np.ndarray, hashes: np.ndarray | None = None) -> pa.RecordBatch:
-    langs = pa.array(pieces.langs, pa.string()).take(pa.array(pieces.lang[at])) if len(pieces.langs) else pa.array([], pa.string())
-    columns = {"lang": langs, "phrase": pieces.phrases(at, depth), "n": pa.array(counts, pa.int64())}
-    if hashes is not None:
-        columns["h"] = pa.array(hashes.view(np.int64))
-    return pa.RecordBatch.from_pydict(columns)
-
-
 def _over_batches(source: DataFrame, rows, schema: str) -> DataFrame:
     def run(batches):
         for batch in cut(batches, "text", TEXT_BYTES):
@@ -208,15 +199,8 @@ def word_rows(pieces: Pieces) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"lang": langs, "phrase": names, "n": pa.array(counts, pa.int64()), "h": pa.array(hashes.view(np.int64))})
 
 
-def pair_rows(pieces: Pieces, words: Bitmap) -> pa.RecordBatch:
-    at, hashes = frequent_pairs(pieces, words)
-    found = [(p, n) for d, p, n in partitions(pieces.word, at, np.full(len(at), 2), pieces.lang[at], 2) if d == 2]
-    place, counts = (np.concatenate([x[i] for x in found]) for i in (0, 1)) if found else (np.zeros(0, np.int64),) * 2
-    return _rows(pieces, at[place], np.full(len(place), 2), counts, hashes[place])
-
-
 def suffix_rows(pieces: Pieces, words: Bitmap, pairs: Bitmap, depth: int) -> pa.RecordBatch:
-    """Distinct suffixes of three words or more, as far as their pairs are frequent, with their number in this batch."""
+    """Distinct suffixes of two words or more, as far as their pairs are frequent, with their number in this batch."""
     at, hashes = frequent_pairs(pieces, words)
     good = np.zeros(len(pieces) + depth, bool)
     good[at[pairs.has(hashes)]] = True
@@ -225,20 +209,22 @@ def suffix_rows(pieces: Pieces, words: Bitmap, pairs: Bitmap, depth: int) -> pa.
     for i in range(depth - 1):
         going &= good[i : i + len(pieces)]
         reach += going
-    at = np.flatnonzero(reach > 2)
+    at = np.flatnonzero(reach > 1)
     reach = reach[at]
     place, counts = [], []
-    for d in range(3, depth + 1):  # suffixes that reach just so far
+    for d in range(2, depth + 1):  # suffixes that reach just so far
         own = np.flatnonzero(reach == d)
         for e, p, n in partitions(pieces.word, at[own], reach[own], pieces.lang[at[own]], d):
             if e == d:
                 place.append(own[p]), counts.append(n)
     place = np.concatenate(place) if place else np.zeros(0, np.int64)
-    return _rows(pieces, at[place], reach[place], np.concatenate(counts) if counts else place)
+    langs = pa.array(pieces.langs, pa.string()).take(pa.array(pieces.lang[at[place]]))
+    counts = pa.array(np.concatenate(counts) if counts else place, pa.int64())
+    return pa.RecordBatch.from_pydict({"lang": langs, "phrase": pieces.phrases(at[place], reach[place]), "n": counts})
 
 
 def _routed_counts(table: pa.Table, depth: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of three words or more among routed suffixes; those shorter than the route are partial."""
+    """Counts of the phrases of two words or more among routed suffixes; those shorter than the route are partial."""
     phrases = table.column("phrase").combine_chunks()
     split = pc.split_pattern(phrases, " ")
     numbers = split.flatten().dictionary_encode()
@@ -250,7 +236,7 @@ def _routed_counts(table: pa.Table, depth: int, least: int) -> Iterator[pa.Recor
     for own_route in np.unique(route).tolist():
         own = np.flatnonzero(route == own_route)
         for d, p, n in partitions(words, edges[:-1][own], reach[own], lang[own], depth, weight[own], least, exempt=own_route - 1):
-            if d < 3:
+            if d == 1:
                 continue
             p = pa.array(own[p])
             heads = pc.binary_join(pc.list_slice(split.take(p), 0, d), " ")
@@ -267,14 +253,17 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least:
     totals = first.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = first.where(F.col("n") >= least)
     words = spark.sparkContext.broadcast(Bitmap.of(frequent, "h", max(1, frequent.count())))
-    second = summed(_over_batches(source, lambda p: pair_rows(p, words.value), f"{kind}, h long"), F.first("h").alias("h"))
-    second = stage(second.where(F.col("n") >= least), "phrase-pairs")
-    pairs = spark.sparkContext.broadcast(Bitmap.of(second, "h", max(1, second.count())))
+    tokens = totals.agg(F.sum("n")).first()[0] or 0
+
+    def pair_keys(batches):
+        for batch in cut(batches, "text", TEXT_BYTES):
+            yield frequent_pairs(Pieces(batch.column("text"), batch.column("lang")), words.value)[1]
+
+    often = stage(frequent_keys(source, pair_keys, tokens, least), "phrase-pairs")
+    pairs = spark.sparkContext.broadcast(Bitmap.of(often, "h", max(1, often.count())))
     suffixes = stage(summed(_over_batches(source, lambda p: suffix_rows(p, words.value, pairs.value, depth), kind)), "phrase-suffixes")
-    longer = _sorted_routes(suffixes, depth, least)
-    counts = [t.select("lang", "phrase", "n", F.lit(k).alias("words")) for t, k in ((frequent, 1), (second, 2))]
-    counts.append(longer.select("lang", "phrase", "n", F.size(F.split("phrase", " ")).alias("words")))
-    return stage(reduce(DataFrame.unionByName, counts), "phrase-counts"), totals
+    longer = _sorted_routes(suffixes, depth, least).withColumn("words", F.size(F.split("phrase", " ")))
+    return stage(frequent.select("lang", "phrase", "n", F.lit(1).alias("words")).unionByName(longer), "phrase-counts"), totals
 
 
 def _lead(n: int | Column) -> Column:
@@ -286,7 +275,9 @@ def _sorted_routes(suffixes: DataFrame, depth: int, least: int) -> DataFrame:
     out = suffixes.withColumn("route", F.lit(min(ROUTE, depth)))
     for n in range(ROUTE, depth):
         crowded = suffixes.groupBy("lang", _lead(n).alias("_lead")).agg(F.count("*").alias("_size")).where(F.col("_size") > CROWD)
-        crowded = crowded.select(F.col("lang").alias("_lang"), "_lead", F.lit(True).alias("_crowded"))
+        crowded = stage(crowded.select(F.col("lang").alias("_lang"), "_lead", F.lit(True).alias("_crowded")), "phrase-crowds")
+        if crowded.isEmpty():  # then no longer lead is crowded
+            break
         joined = out.join(crowded, (F.col("lang") == F.col("_lang")) & (_lead(n) == F.col("_lead")), "left")
         out = joined.select("lang", "phrase", "n", F.when(F.col("_crowded"), n + 1).otherwise(F.col("route")).alias("route"))
     parts = max(8, -(-suffixes.count() // ROUTED))

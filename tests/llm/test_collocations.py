@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from starloom.llm import collocations as module
+from starloom.llm import keycounts
 from starloom.llm.collocations import Pieces, collocations, partitions, phrase_counts
 
 
@@ -70,6 +71,10 @@ def test_crowded_routes_and_full_bitmaps(spark, monkeypatch):
     monkeypatch.setattr(module, "ROUTED", 10)
     rows = made_rows(7)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    monkeypatch.setattr(keycounts, "SHARD_KEYS", 8)
+    monkeypatch.setattr(keycounts, "HELD", 40)
+    monkeypatch.setattr(keycounts, "GROUP", 2)
+    monkeypatch.setattr(keycounts, "FAN", 3)  # several levels
     for bits in (28, 6):  # with 64 bits all pairs pass
         monkeypatch.setattr(module, "MOST_BITS", bits)
         counts, totals = phrase_counts(docs, least=4)
@@ -112,3 +117,37 @@ def test_odd_and_empty_tables(spark, odd_documents, no_documents):
     assert got == brute([(r.lang, r.text) for r in odd_documents.collect()], 2, 50) and got
     assert collocations(no_documents).count() == 0
     assert collocations(no_documents).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, 2**48 - 1), st.integers(1, 2**31), max_size=50))
+def test_messages(counts):
+    keys = np.array(sorted(counts), np.uint64)
+    values = np.array([counts[k] for k in sorted(counts)], np.int64)
+    got = keycounts.from_message(keycounts.to_message(keys, values))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == values.tolist()
+
+
+def test_messages_grow_with_the_input(spark, monkeypatch):
+    """Four times the keys make at most four times the messages, as levels are added."""
+    monkeypatch.setattr(keycounts, "SHARD_KEYS", 64)
+    monkeypatch.setattr(keycounts, "HELD", 256)
+    monkeypatch.setattr(keycounts, "FAN", 3)
+    monkeypatch.setattr(keycounts, "GROUP", 4)
+    made = []
+    for n in (4_096, 16_384, 65_536):
+        sent = spark.sparkContext.accumulator(0)
+        real = keycounts._split
+
+        def counting(keys, counts, bits, sender, real=real, sent=sent):
+            out = real(keys, counts, bits, sender)
+            sent.add(out.num_rows)
+            return out
+
+        monkeypatch.setattr(keycounts, "_split", counting)
+        keys = lambda batches: (np.repeat((b.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), 2) for b in batches)
+        found = keycounts.frequent_keys(spark.range(n).repartition(n // 512), keys, 2 * n, 2)
+        assert found.count() == n
+        made.append(sent.value / n)
+        monkeypatch.setattr(keycounts, "_split", real)
+    assert made[2] < 2.5 * made[0]  # one level more, not sixteen times as many for each key
