@@ -10,14 +10,13 @@ from pyspark.sql import types as T
 
 from ..functions.semantics import FLOATING, NUMERIC, WHOLE, as_col, differs, pair_corr, skew_g1
 from ..functions.sqltext import literal, name, named
+from .gramian import correlation_pairs
 from .tables import HotKeys, SizedTable, rows_if_small
 
 SIX = ("mean", "std", "min", "max", "sum", "nunique")
 MAX_LEVELS = 10_000
 # Most values (rows x columns) of one group that are kept as sets while counting them.
 GROUP_VALUES = 20_000
-# Quantiles sketched per pass of the exact median search.
-QUANTILES = 200
 
 
 def numeric_columns(df: DataFrame, but=()) -> list[str]:
@@ -301,62 +300,6 @@ def feature_report(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return profile.join(F.broadcast(corr), "feature", "left")
 
 
-def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians of whole columns, without sorting or gathering them.
-
-    Each middle rank is searched on its own: a pass counts the rows below, at and between
-    two values of the column and takes quantile sketches in between; the sketches give the
-    next two values.  Every pass shrinks the gap about fortyfold.
-    """
-    number = {c: F.nanvl(as_col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    first = df.agg(*[e(number[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, e in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    shares = F.array(*[F.lit(q / QUANTILES) for q in range(QUANTILES + 1)])
-    gaps, found = {}, {}
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        for rank in {(n - 1) // 2, n // 2} if n else ():
-            gaps[c, rank] = (first[f"lo{i}"], first[f"hi{i}"])
-    while gaps:
-        exprs = []
-        for i, ((c, _), (lo, hi)) in enumerate(gaps.items()):
-            x, lo, hi = number[c], F.lit(float(lo)), F.lit(float(hi))
-            inner = (x > lo) & (x < hi)
-            exprs += [
-                F.count(F.when(x < lo, 1)).alias(f"below{i}"),
-                F.count(F.when(x == lo, 1)).alias(f"low{i}"),
-                F.count(F.when(inner, 1)).alias(f"inner{i}"),
-                F.percentile_approx(F.when(inner, x), shares, 50 * QUANTILES).alias(f"cuts{i}"),
-            ]
-        row, following = df.agg(*exprs).first(), {}
-        for i, ((c, rank), (lo, hi)) in enumerate(gaps.items()):
-            at_low = row[f"below{i}"] + row[f"low{i}"]
-            inner, cuts = row[f"inner{i}"], row[f"cuts{i}"]
-            if rank < at_low:
-                found[c, rank] = lo
-            elif rank >= at_low + inner:
-                found[c, rank] = hi
-            else:
-                q = QUANTILES * (rank - at_low) // inner
-                following[c, rank] = (cuts[max(0, q - 2)], cuts[min(QUANTILES, q + 3)])
-        gaps = following
-    out = {}
-    for c in columns:
-        middle = [v for (column, _), v in found.items() if column == c]
-        out[c] = sum(middle) / len(middle) if middle else None
-    return out
-
-
-def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature_1, feature_2, correlation) of every pair, each over its complete rows."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    entries = ", ".join(f"struct(CAST({name(columns[i])} AS DOUBLE) AS x, CAST({name(columns[j])} AS DOUBLE) AS y)" for i, j in pairs)
-    rows = df.selectExpr(f"posexplode(array({entries})) AS (f, p)").selectExpr("f", "p.x", "p.y").where("x IS NOT NULL AND y IS NOT NULL")
-    found = grouped(rows, ["f"], {"correlation": "try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))"})
-    named_pairs = [(f, columns[i], columns[j]) for f, (i, j) in enumerate(pairs)]
-    frame = df.sparkSession.createDataFrame(named_pairs, "f int, feature_1 string, feature_2 string")
-    return frame.join(F.broadcast(found), "f", "left").drop("f")
-
-
 def correlated_pairs(df: DataFrame, columns: list[str], over: float) -> DataFrame:
     """Pairs whose absolute correlation is above the threshold."""
     return correlation_pairs(df, columns).where(F.abs("correlation") > over)

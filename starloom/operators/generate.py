@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,26 +88,108 @@ class PairwiseInteractions(FeatureStage):
             columns = [c for c in numbers if levels[c] != 2]
         else:
             columns = [c for c in columns if c in numeric_columns(dataset)]
-        new = all_interactions(columns)
-        overflow = []
-        if self.config["drop_overflow"] and new:
-            names = list(new)
-            at_minus_one = {c: as_col(c) == -1 for c in columns}
-            checks = []
-            for n in names:
-                bad = F.abs(new[n]) == F.lit(float("inf"))
-                for c in columns:
-                    if f"log(1_+_{c})" in n:
-                        bad = F.coalesce(bad, F.lit(False)) | F.coalesce(at_minus_one[c], F.lit(False))
-                checks.append(bad)
-            # One pass over the rows; 300 aggregates per job keeps the generated code small.
-            for start in range(0, len(names), 300):
-                part = range(start, min(start + 300, len(names)))
-                row = dataset.agg(*[F.max(F.coalesce(checks[i], F.lit(False))).alias(str(i)) for i in part]).first()
-                overflow += [names[i] for i in part if row[str(i)]]
+        overflow = overflowing(dataset, columns) if self.config["drop_overflow"] and len(columns) > 1 else []
         return PairwiseInteractionsModel(self.config, {"columns": columns, "overflow": overflow})
 
 
+# Largest x whose exponential is finite, and a margin for what rounding adds to a bound.
+EXP_LIMIT, MARGIN = 709.782712893384, 1 + 1e-9
+# Flags packed into one integer.
+PACKED = 62
+
+
+class Interval:
+    """What one aggregate tells of a column: finite bounds, its least magnitude but zero, and whether it has 0, -1 or infinities."""
+
+    def __init__(self, low, high, least, zero, minus_one, infinite):
+        self.known = low is not None
+        self.low, self.high = (low, high) if self.known else (0.0, 0.0)
+        self.size, self.least = max(abs(self.low), abs(self.high)), least
+        self.zero, self.minus_one, self.infinite = bool(zero), bool(minus_one), bool(infinite)
+
+    def transformed(self, shape: str) -> Interval:
+        """Bounds of log(1 + x), exp(x) or sqrt(x) where they have a value."""
+        out = Interval(self.low, self.high, None, False, False, self.infinite)
+        if shape.startswith("log"):
+            out.size = max(abs(math.log1p(max(self.low, -1 + 2.0**-53))), abs(math.log1p(max(self.high, -1 + 2.0**-53))), 40.0)
+        elif shape.startswith("exp"):
+            out.infinite |= self.high > EXP_LIMIT
+            out.size = math.exp(min(self.high, EXP_LIMIT))
+        else:
+            out.size = math.sqrt(max(self.high, 0.0))
+        return out
+
+
+def may_overflow(op: str, x: Interval, y: Interval) -> bool:
+    """Whether some pair of values within the bounds gives an infinity."""
+    if x.infinite or y.infinite:
+        return True
+    if op == "/":
+        return y.zero or y.least is not None and x.size / MAX_DOUBLE * MARGIN >= y.least
+    if op == "*":
+        return x.size > 0 and y.size > MAX_DOUBLE / x.size / MARGIN
+    return x.size / 2 + y.size / 2 > MAX_DOUBLE / 2 / MARGIN
+
+
+MAX_DOUBLE = 1.7976931348623157e308
+
+
+def intervals(df: DataFrame, columns: list[str]) -> dict[str, Interval]:
+    """One aggregate of a few statistics a column."""
+    x = sqltext.finite("v")
+    found = column_statistics(
+        df.selectExpr(*[f"CAST({sqltext.name(c)} AS DOUBLE) AS {sqltext.name(c)}" for c in columns]),
+        columns,
+        {
+            "low": f"min({x})",
+            "high": f"max({x})",
+            "least": f"min(CASE WHEN v <> 0 THEN abs({x}) END)",
+            "zero": "coalesce(bool_or(v = 0), false)",
+            "minus_one": "coalesce(bool_or(v = -1), false)",
+            "infinite": "coalesce(bool_or(abs(v) = double('inf') OR isnan(v)), false)",
+        },
+    )
+    return {c: Interval(**found[c]) for c in columns}
+
+
+def overflowing(df: DataFrame, columns: list[str]) -> list[str]:
+    """Names of the interactions that are infinite in some row, or take the logarithm of 1 + x where x is -1.
+
+    The columns' intervals decide nearly all: a logarithm by its column alone, and whatever can't overflow.  The rest,
+    such as divisions by a column with zeros, are looked at row by row in one more scan, their flags packed
+    into integers.
+    """
+    bounds = intervals(df, columns)
+    changed = {c: {shape: bounds[c].transformed(shape) if shape else bounds[c] for shape in ("", *UNARY)} for c in columns}
+    names, certain, open_forms = [], set(), {}
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 :]:
+            forms = None
+            for op, left, right in pair_shapes():
+                n = f"{left.format(a) if left else a}_{op}_{right.format(b) if right else b}"
+                names.append(n)
+                if left.startswith("log") and bounds[a].minus_one or right.startswith("log") and bounds[b].minus_one:
+                    certain.add(n)
+                elif may_overflow(op, changed[a][left], changed[b][right]):
+                    forms = forms or pair_interactions(a, b)
+                    open_forms[n] = forms[n]
+    if open_forms:
+        flags = [F.coalesce(F.abs(e) == F.lit(float("inf")), F.lit(False)).cast("long") for e in open_forms.values()]
+        packed = [reduce(Column.__add__, [f * F.lit(1 << i) for i, f in enumerate(flags[at : at + PACKED])]) for at in range(0, len(flags), PACKED)]
+        row = df.select(F.posexplode(F.array(*packed)).alias("p", "f")).groupBy("p").agg(F.bit_or("f").alias("f")).collect()
+        seen = {r["p"]: r["f"] for r in row}
+        certain |= {n for i, n in enumerate(open_forms) if seen.get(i // PACKED, 0) >> (i % PACKED) & 1}
+    return [n for n in names if n in certain]
+
+
+def pair_shapes() -> list[tuple[str, str, str]]:
+    """(operation, shape of the left side, of the right side) in the order of ``pair_interactions``."""
+    out = [(op, "", "") for op in COMBINE] + [("/", "", "")]
+    for shape in UNARY:
+        out += [(op, "", shape) for op in COMBINE] + [(op, shape, "") for op in COMBINE]
+    return out
+
+
 def all_interactions(columns: list[str]) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for i, a in enumerate(columns):

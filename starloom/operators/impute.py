@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 
 from ..functions import sqltext
 from ..functions.semantics import FLOATING
-from .aggregate import column_medians, column_statistics, numeric_columns, string_columns
+from .aggregate import column_statistics, numeric_columns, string_columns
+from .ranks import column_medians
 from .stage import FeatureStage, FittedStage
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext
 from ..functions.semantics import as_col
-from .aggregate import _storage, column_profile, column_statistics, distinct_counts, numeric_columns
+from .aggregate import column_profile, column_statistics, numeric_columns
+from .partition import one_to_one_pairs
 from .stage import FeatureStage, FittedStage, PlainStage
 
 
@@ -80,36 +81,6 @@ class VarianceSelect(FeatureStage):
         return DroppedColumns(self.config, {"dropped": low})
 
 
-def one_to_one_pairs(df: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
-    """Pairs of columns whose values determine each other wherever both are present.
-
-    Only columns with equally many values are compared.  Value pairs are deduplicated as
-    narrow rows first, so repeated rows never gather.
-    """
-    levels = distinct_counts(df, [], columns, "").first()
-    pairs = [
-        (a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if levels[a] == levels[b] and levels[a] > 1
-    ]
-    found = []
-    for start in range(0, len(pairs), 200):
-        part = pairs[start : start + 200]
-
-        def text(c):
-            kind = _storage(df.schema[c].dataType)[1]
-            value = as_col(c).cast(kind)
-            return (value + F.lit(0.0) if kind == "double" else value).cast("string")
-
-        entries = [F.struct(F.lit(i).alias("p"), text(a).alias("a"), text(b).alias("b")) for i, (a, b) in enumerate(part)]
-        rows = df.select(F.inline(F.array(*entries))).where("a is not null and b is not null").distinct()
-        # The pairs are a bijection when no value of either side meets two of the other.
-        both = rows.groupBy("p").agg(F.count(F.lit(1)).alias("both"))
-        left = rows.select("p", "a").distinct().groupBy("p").agg(F.count(F.lit(1)).alias("left"))
-        right = rows.select("p", "b").distinct().groupBy("p").agg(F.count(F.lit(1)).alias("right"))
-        same = both.join(left, "p").join(right, "p").where("both = left and both = right")
-        found += [part[r["p"]] for r in same.select("p").collect()]
-    return sorted(found)
-
-
 def duplicate_groups(pairs: list[tuple[str, str]], order: list[str]) -> list[list[str]]:
     """Connected sets of columns in which every two are a pair, in table order."""
     near: dict[str, set[str]] = {}

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from starloom.functions import rowwise as R
 from starloom.functions import semantics as S
-from starloom.operators.aggregate import column_medians, column_profile, correlation_pairs, pivot_counts
+from starloom.operators.aggregate import column_profile, correlation_pairs, pivot_counts
 from starloom.operators.generate import DateTimeFeatures, PairwiseInteractions, SkewLog, TextStatistics
+from starloom.operators.ranks import column_medians
 
 
 def one(spark, column, schema="a double, b double", rows=((1.0, 2.0),)):
