@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import as_col, hash_bucket, md5_of
 from .aggregate import numeric_columns
+from .newton import NewtonTrees, softmax
 from .ordered import OrderedGroups, hash_ordered_position
 from .select import assembled
 from .stage import FeatureStage, FittedStage
@@ -23,8 +24,12 @@ class BoostedTrees(FeatureStage):
     on all rows; "holdout" stops on a held-out share; "none" uses ``rounds`` as given.
     ``patience`` ends the search that many rounds after the last improvement.  With ``metric`` "auc"
     (two classes) the round with the best area under the curve is taken instead of the least loss.
-    Folds are even, and for classes even within each class.  Labels of classes are 0, 1, 2, ...;
-    with more than two, ``select_rounds`` must be "none" and ``positive_weight`` 1.
+    Folds are even, and for classes even within each class.  Labels of classes are 0, 1, 2, ...
+
+    ``weight`` names a column of row weights.  ``class_weights`` has one for each class, or is "balanced" (the rows of all
+    classes weigh alike); ``positive_weight`` is short for that of class 1 of two.  More than two classes share one softmax, with
+    one tree a class and round; these trees, and all with a penalty on leaves (``leaf_l1``, ``leaf_l2``), follow
+    ``NewtonTrees`` and take all rows and columns (``subsample`` and ``column_share`` 1).
     """
 
     def __init__(
@@ -48,6 +53,10 @@ class BoostedTrees(FeatureStage):
         min_split_gain=0.0,
         positive_weight=1.0,
         metric="loss",
+        weight=None,
+        class_weights=None,
+        leaf_l1=0.0,
+        leaf_l2=0.0,
     ):
         config = dict(locals())
         for name in ("self", "__class__"):
@@ -71,17 +80,32 @@ class BoostedTrees(FeatureStage):
             seed=c["seed"],
             checkpointInterval=10,
         )
-        return trees.setWeightCol("weight") if c["positive_weight"] != 1.0 else trees
+        return trees.setWeightCol("weight") if self._weighted() else trees
+
+    def _weighted(self) -> bool:
+        c = self.config
+        return c["positive_weight"] != 1.0 or c["weight"] is not None or c["class_weights"] is not None
+
+    def _row_weight(self, data: DataFrame, classed: bool) -> Column:
+        c, label = self.config, as_col(self.config["label"])
+        weight = F.coalesce(as_col(c["weight"]).cast("double"), F.lit(0.0)) if c["weight"] else F.lit(1.0)
+        by_class = c["class_weights"]
+        if by_class == "balanced" and classed:
+            counts = {int(r[0]): r[1] for r in data.groupBy(label.cast("int")).count().collect()}  # one row a class
+            by_class = [sum(counts.values()) / len(counts) / counts.get(k, 1) for k in range(max(counts, default=0) + 1)]
+        if by_class:
+            weight = weight * F.element_at(F.array(*[F.lit(float(w)) for w in by_class]), label.cast("int") + 1)
+        return weight * F.when(label > 0, F.lit(float(c["positive_weight"]))).otherwise(F.lit(1.0))
 
     def _fit(self, dataset: DataFrame) -> BoostedTreesModel:
         c = self.config
         columns = c["columns"] or [x for x in numeric_columns(dataset) if x not in (c["label"], c["key"])]
         data = dataset.where(as_col(c["label"]).isNotNull())
-        weight = F.when(as_col(c["label"]) > 0, F.lit(float(c["positive_weight"]))).otherwise(F.lit(1.0))
         row_key = [c["key"]] if c["key"] else columns
         held = (hash_bucket(row_key, 10_000, c["seed"]) < F.lit(round(10_000 * c["test_share"]))).alias("held")
         data = data.withColumn("__hash", md5_of(row_key, f"cv{c['seed']}")).withColumn("__one", F.lit(0))
         classed = c["problem"] == "classification"
+        weight = self._row_weight(data, classed)
         data = hash_ordered_position(data, [c["label"]] if classed else ["__one"], "__hash", "__fold")
         fold = (F.col("__fold") % c["folds"]).cast("int").alias("fold")
         vectors = assembled(data, columns).select("features", as_col(c["label"]).cast("double").alias("label"), weight.alias("weight"), held, fold)
@@ -94,12 +118,19 @@ class BoostedTrees(FeatureStage):
                 raise ValueError("labels of classes must be 0, 1, 2, ...")
             classes = int(high or 0) + 1
         state["classes"] = classes
-        if classes > 2 and (c["select_rounds"] != "none" or c["positive_weight"] != 1.0):
-            raise ValueError("with several classes set select_rounds to 'none' and positive_weight to 1")
+        if classes > 2 and c["positive_weight"] != 1.0:
+            raise ValueError("with several classes give class_weights")
+        newton = classes > 2 or c["leaf_l1"] or c["leaf_l2"]
+        if newton and (c["subsample"] != 1.0 or c["column_share"] != 1.0):
+            raise ValueError("several classes and penalties on leaves take all rows and columns")
         if c["metric"] not in ("loss", "auc") or c["metric"] == "auc" and (not classed or classes > 2):
             raise ValueError("metric is 'loss', or 'auc' for two classes")
-        if classes > 2:
-            model = OneVsRest(classifier=self._trees(c["rounds"]), featuresCol="features", labelCol="label").fit(vectors)
+        state["newton"] = newton = bool(newton)
+        if newton:
+            if c["metric"] == "auc":
+                raise ValueError("metric 'auc' goes without penalties on leaves")
+            model, learned = self._newton(vectors, classes if classed else 0, state)
+            state |= learned
         elif c["select_rounds"] == "cv":
             losses = [
                 self._losses(self._trees(c["rounds"]).fit(vectors.where(F.col("fold") != k)), vectors.where(F.col("fold") == k))
@@ -119,6 +150,19 @@ class BoostedTrees(FeatureStage):
         out.models["trees"] = model
         return out
 
+    def _newton(self, vectors: DataFrame, classes: int, state: dict):
+        c, trees = self.config, NewtonTrees(self.config, classes)
+        learning = lambda learn: vectors.withColumn("learn", learn)
+        if c["select_rounds"] == "cv":
+            losses = [trees.grow(learning(F.col("fold") != k), c["rounds"])[2] for k in range(c["folds"])]
+            mean = [sum(v) / len(v) for v in zip(*losses, strict=True)]
+            state["history"], state["rounds"] = mean, best_round(mean, c["patience"])
+        elif c["select_rounds"] == "holdout":
+            state["history"] = trees.grow(learning(~F.col("held")), c["rounds"])[2]
+            state["rounds"] = best_round(state["history"], c["patience"])
+        rest = ~F.col("held") if c["select_rounds"] == "holdout" else F.lit(True)
+        return trees.grow(learning(rest), state["rounds"])[:2]
+
     def _losses(self, model, rows: DataFrame) -> list[float]:
         """What is to be small, after each round; with the area under the curve, its negative."""
         if self.config["problem"] == "regression":
@@ -155,12 +199,16 @@ class BoostedTreesModel(FittedStage):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         scored = self.models["trees"].transform(assembled(dataset, self.state["columns"]))
         names = [as_col(c) for c in dataset.columns]
-        if self.config["problem"] == "regression":
+        regression = self.config["problem"] == "regression"
+        if self.state.get("newton"):
+            margins = NewtonTrees(self.config, 0 if regression else self.state["classes"]).margins(self.state)
+            if regression:
+                return scored.select(*names, margins[0].alias("prediction"))
+            scored = scored.select(*names, softmax(margins).alias("probabilities"))
+            likely = F.array_position("probabilities", F.array_max("probabilities")) - 1
+            return scored.select(*names, (F.col("probabilities")[1] if self.state["classes"] == 2 else likely.cast("double")).alias("prediction"), "probabilities")
+        if regression:
             return scored.select(*names, F.col("prediction"))
-        if self.state["classes"] > 2:
-            margins = F.transform(vector_to_array("rawPrediction"), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
-            total = F.aggregate(margins, F.lit(0.0), lambda a, b: a + b)
-            return scored.select(*names, F.col("prediction"), F.transform(margins, lambda p: p / total).alias("probabilities"))
         p = vector_to_array("probability")
         return scored.select(*names, p[1].alias("prediction"), p.alias("probabilities"))
 
@@ -172,8 +220,8 @@ class BoostedTreesModel(FittedStage):
         """[feature, gain] by falling gain, then name."""
         trees = self.models["trees"]
         columns = self.state["columns"]
-        if self.state["classes"] > 2:
-            gains = [sum(float(m.featureImportances[i]) for m in trees.models) / len(trees.models) for i in range(len(columns))]
+        if self.state.get("newton"):
+            gains = [sum(float(t.featureImportances[i]) for t in trees.stages) / max(1, len(trees.stages)) for i in range(len(columns))]
         else:
             gains = [float(trees.featureImportances[i]) for i in range(len(columns))]
         return sorted(([c, g] for c, g in zip(columns, gains)), key=lambda r: (-r[1], r[0]))

@@ -113,7 +113,7 @@ def gbt_regress(spark, sf):
 @query("gbt_multiclass")
 def gbt_multiclass(spark, sf):
     df = text_numbers(spark, sf).withColumn("kind", F.col("quality") + F.col("toxic") * 2 - F.col("quality") * F.col("toxic"))
-    trees = BoostedTrees("kind", TEXT_NUMBERS, rounds=4, select_rounds="none", max_depth=3, key="doc_id")
+    trees = BoostedTrees("kind", TEXT_NUMBERS, rounds=4, select_rounds="cv", folds=2, learning_rate=0.3, max_depth=3, class_weights="balanced", leaf_l2=1.0, key="doc_id")
     return trees.fit(df).transform(df).select("doc_id", "prediction")
 
 
