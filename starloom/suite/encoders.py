@@ -122,14 +122,14 @@ def target_mean(spark, sf):
     return model.transform(table(spark, sf, "documents").select("doc_id", "source"))
 
 
-# Words as levels: some occur once.
-FIRST_WORDS = "substr(text, 1, 4)"
+# The first word as level: some occur once.
+FIRST_WORDS = "split_part(text, ' ', 1)"
 LOO = f"(select doc_id, {FIRST_WORDS} as w, quality from documents left join labels using (doc_id))"
 LOO_LEVELS = f"(select w, sum(quality) as s, count(quality) as n from {LOO} where quality is not null group by 1)"
 
 
 def _loo(spark, sf):
-    df = labelled_documents(spark, sf).select("doc_id", F.substring("text", 1, 4).alias("w"), "quality")
+    df = labelled_documents(spark, sf).select("doc_id", F.substring_index("text", " ", 1).alias("w"), "quality")
     train = df.where("quality is not null")
     return CategoricalEncoder(["w"], [LeaveOneOut(noise=False)], label="quality").fit(train), train, df
 

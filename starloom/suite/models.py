@@ -117,9 +117,25 @@ def gbt_multiclass(spark, sf):
     return trees.fit(df).transform(df).select("doc_id", "prediction")
 
 
+@query("gbt_ranges", "select doc_id, true as scored, true as distributed, true as likeliest from documents")
+def gbt_ranges(spark, sf):
+    """Every document has a probability, and probabilities of three classes that sum to one."""
+    df = text_numbers(spark, sf).withColumn("kind", F.col("quality") + F.col("toxic") * 2 - F.col("quality") * F.col("toxic"))
+    two = BoostedTrees("quality", TEXT_NUMBERS, rounds=3, select_rounds="none", max_depth=3, key="doc_id").fit(df).transform(df)
+    three = BoostedTrees("kind", TEXT_NUMBERS, rounds=2, select_rounds="none", max_depth=3, leaf_l1=0.1, leaf_l2=1.0, key="doc_id").fit(df)
+    p = F.col("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
+    several = three.transform(df).select(
+        "doc_id",
+        ((F.size(p) == 3) & F.forall(p, lambda x: (x > 0) & (x < 1)) & (F.abs(total - 1) < 1e-9)).alias("distributed"),
+        (F.element_at(p, (F.col("prediction") + 1).cast("int")) == F.array_max(p)).alias("likeliest"),
+    )
+    return two.select("doc_id", F.col("prediction").between(0, 1).alias("scored")).join(several, "doc_id")
+
+
 @query("cross_validate")
 def cross_validation(spark, sf):
-    df = text_numbers(spark, sf)
+    df = text_numbers(spark, sf).where("quality IS NOT NULL")
     models = {
         "shallow": BoostedTrees("quality", TEXT_NUMBERS, rounds=4, select_rounds="none", max_depth=2, key="doc_id"),
         "deep": BoostedTrees("quality", TEXT_NUMBERS, rounds=4, select_rounds="none", max_depth=4, key="doc_id"),
@@ -142,8 +158,9 @@ def stage_reuse(spark, sf):
     """The second fit reads the written stage outputs of the first."""
     df = text_numbers(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     folder = f"{checkpoint_folder(spark)}/stages-{hashlib.sha256(sf.encode()).hexdigest()[:8]}"
-    first = StagedPipeline(_stages(), folder).fit(df)
-    second = StagedPipeline(_stages(), folder).fit(df)
+    labelled = df.where("quality IS NOT NULL")
+    first = StagedPipeline(_stages(), folder).fit(labelled)
+    second = StagedPipeline(_stages(), folder).fit(labelled)
     both = first.transform(df).withColumnRenamed("prediction", "first")
     again = second.transform(df).select("doc_id", F.col("prediction").alias("second"))
     return both.join(again, "doc_id").select("doc_id", "first", "second", F.lit(second.reused).alias("stages_reused"))

@@ -71,9 +71,9 @@ def drop_listed(spark, sf):
 
 
 def text_numbers(spark, sf):
-    """Labelled documents with a few numbers taken from their text."""
+    """All documents, labelled or not, with a few numbers taken from their text."""
     t = F.col("text")
-    return labelled_documents(spark, sf, "inner").select(
+    return labelled_documents(spark, sf).select(
         "doc_id",
         "quality",
         "toxic",
@@ -98,15 +98,39 @@ def l1_filter(spark, sf):
     return spark.createDataFrame(weights, "feature string, weight double, kept int")
 
 
+def embedding_columns(spark, sf):
+    """The embeddings, one column for each dimension they have."""
+    vectors = table(spark, sf, "embeddings")
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{i}" for i in range(size)]
+    return vectors.select("vec_id", *[F.coalesce(F.get("embedding", i), F.lit(0.0)).cast("double").alias(c) for i, c in enumerate(names)]), names
+
+
 @query("pca")
 def pca(spark, sf):
-    size = 8
-    vectors = table(spark, sf, "embeddings")
-    df = vectors.select("vec_id", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(size)])
-    out = S.principal_components(df, [f"e{i}" for i in range(size)], 7, ["vec_id"])
+    df, names = embedding_columns(spark, sf)
+    out = S.principal_components(df, names, 7, ["vec_id"])
     return out.select("vec_id", *[F.abs(F.get("components", i)).alias(f"pc{i}") for i in range(7)])
 
 
+@query(
+    "pca_variance",
+    """with x as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings),
+    v as (select i, var_pop(x) as v from x group by i)
+    select (select count(*) from embeddings) as vectors, count(*) as components, sum(v) as variance, true as falling, true as uncorrelated from v""",
+    "variance",
+)
+def pca_variance(spark, sf):
+    """All components together keep the variance; each has no more than the one before, and none goes with the first."""
+    df, names = embedding_columns(spark, sf)
+    out = S.principal_components(df, names, len(names), ["vec_id"])
+    stats = [e for i in range(len(names)) for e in (F.var_pop(F.get("components", i)), F.corr(F.get("components", 0), F.get("components", i)))]
+    row = out.agg(F.count("*"), F.array(*stats[::2]).alias("v"), F.array(*stats[1::2]).alias("r")).first()
+    falling = all(a >= b - 1e-9 for a, b in zip(row["v"], row["v"][1:]))
+    uncorrelated = all(abs(r) < 1e-6 for r in row["r"][1:])
+    return spark.createDataFrame([(row[0], len(names), sum(row["v"]), falling, uncorrelated)], "vectors bigint, components bigint, variance double, falling boolean, uncorrelated boolean")
+
+
 @query("importance_filter")
 def importance_filter(spark, sf):
     df = text_numbers(spark, sf)
