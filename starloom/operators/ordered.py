@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.semantics import as_col
-from .tables import ROWS_PER_TASK, HotKeys, SizedTable, keyed_frame, materialise
+from .tables import ROWS_PER_TASK, HotKeys, SizedTable, materialise
 
 SAMPLES_PER_CHUNK = 50
 # Cuts are searched in two steps: first among the blocks, then inside one block.
 CUTS_PER_BLOCK = 64
+# Chunks of one key at most; those of a still larger key hold more rows each, which are sorted with spilling.
+MOST_CHUNKS = 65_536
 
 
 class OrderedGroups:
@@ -61,38 +62,26 @@ class OrderedGroups:
 
     def _cuts(self) -> DataFrame:
         """Cut rows of every hot key, sampled along its order: (keys, __blocks)."""
-        spark, names = self.df.sparkSession, [c for c, _ in self.order]
-        plan = []
-        for key, rows in zip(self.hot.rows, self.hot.sizes):
-            n = max(2, -(-2 * rows // self.hot.limit))
-            plan.append(key + (n, min(1.0, SAMPLES_PER_CHUNK * n / rows)))
-        plan = keyed_frame(spark, self.df, self.keys, plan, "__n int, __share double")
-        sample = self._match(plan, "inner").where(F.rand(17) < F.col("__share"))
-        group = W.partitionBy(*map(as_col, self.keys))
+        names = [c for c, _ in self.order]
+        keys = [as_col(k) for k in self.keys]
+        chunks = F.least(F.greatest(F.lit(2), F.ceil(F.col("__rows") * 2 / F.lit(self.hot.limit))), F.lit(MOST_CHUNKS)).cast("int")
+        plan = self.hot.table.select(*keys, chunks.alias("__n"), F.least(F.lit(1.0), F.lit(SAMPLES_PER_CHUNK) * chunks / F.col("__rows")).alias("__share"))
+        sample = self.hot.join(self.df, plan).where(F.col("__n").isNotNull() & (F.rand(17) < F.col("__share")))
+        group = W.partitionBy(*keys)
         rank = F.row_number().over(group.orderBy(*self._sorted_by())) - 1
         tile = F.floor(rank * F.col("__n") / F.count(F.lit(1)).over(group)).cast("int")
-        in_tile = W.partitionBy(*map(as_col, self.keys), F.col("__tile")).orderBy(*self._sorted_by())
+        in_tile = W.partitionBy(*keys, F.col("__tile")).orderBy(*self._sorted_by())
         cuts = (
             sample.withColumn("__tile", tile)
             .withColumn("__at", F.row_number().over(in_tile))
             .where("__at = 1 and __tile > 0")
-            .groupBy(*map(as_col, self.keys))
+            .groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("__tile"), *map(as_col, names)))).alias("__cuts"))
         )
-        # The sample is random, so its cuts are fixed here, once, for every later use.
-        schema = T.StructType(cuts.schema.fields[:-1] + [T.StructField("__blocks", T.ArrayType(cuts.schema["__cuts"].dataType))])
-        rows = []
-        for r in cuts.collect():
-            found = r["__cuts"]
-            blocks = [found[i : i + CUTS_PER_BLOCK] for i in range(0, len(found), CUTS_PER_BLOCK)]
-            rows.append(tuple(r[k] for k in self.keys) + (blocks,))
-        return spark.createDataFrame(rows, schema)
-
-    def _match(self, table: DataFrame, how: str) -> DataFrame:
-        """Join to the small table of hot keys, NULL keys included."""
-        renamed = table.withColumnsRenamed({k: f"__key_{k}" for k in self.keys})
-        on = [as_col(k).eqNullSafe(as_col(f"__key_{k}")) for k in self.keys]
-        return self.df.join(F.broadcast(renamed), on, how).drop(*[f"__key_{k}" for k in self.keys])
+        starts = F.sequence(F.lit(1), F.size("__cuts"), F.lit(CUTS_PER_BLOCK))
+        blocks = F.transform(starts, lambda i: F.slice("__cuts", i, F.lit(CUTS_PER_BLOCK)))
+        # The sample is random, so its cuts are written here, once, for every later use.
+        return materialise(cuts.select(*keys, blocks.alias("__blocks")))
 
     def _not_before(self, cut: Column) -> Column:
         """Is the row at or after the cut in the order?"""
@@ -105,29 +94,26 @@ class OrderedGroups:
         return out | same
 
     def _cut_into_chunks(self) -> DataFrame:
-        marked = self._match(self._cuts(), "left")
+        marked = self.hot.join(self.df, self._cuts())
         block = F.size(F.filter(F.col("__blocks"), lambda b: self._not_before(b[0])))
         inside = F.size(F.filter(F.get(F.col("__blocks"), F.col("__block") - 1), self._not_before))
         chunk = F.when(F.col("__block") > 0, (F.col("__block") - 1) * CUTS_PER_BLOCK + inside).otherwise(F.lit(0))
         marked = marked.withColumn("__block", F.when(F.col("__blocks").isNull(), F.lit(0)).otherwise(block))
-        return marked.withColumn("__chunk", chunk).drop("__blocks", "__block")
+        # a hot key without cuts is one chunk, and nothing is carried into it
+        return marked.withColumns({"__chunk": chunk, "__hot": F.col("__blocks").isNotNull()}).drop("__blocks", "__block")
 
     def _carry(self, aggregates: list[Column], carried: list[Column]) -> DataFrame:
         """One row per chunk of the hot keys with values brought over from earlier chunks."""
-        per_chunk = self._only_hot(self.rows).groupBy(*self._group).agg(*aggregates)
+        per_chunk = self.rows.where("__hot").groupBy(*self._group).agg(*aggregates)
         before = W.partitionBy(*map(as_col, self.keys)).orderBy("__chunk")
         return per_chunk.select(*self._group, *[c(before) for c in carried])
 
-    def _only_hot(self, df: DataFrame) -> DataFrame:
-        hot = keyed_frame(df.sparkSession, self.df, self.keys, self.hot.rows, "")
-        renamed = hot.withColumnsRenamed({k: f"__key_{k}" for k in self.keys})
-        return df.join(F.broadcast(renamed), [as_col(k).eqNullSafe(as_col(f"__key_{k}")) for k in self.keys], "left_semi")
-
     def _with_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
+        """Chunks are of bounded size, so they may meet their carried row by a shuffle."""
         names = self.keys + ["__chunk"]
         renamed = carry.withColumnsRenamed({k: f"__key_{k}" for k in names})
         on = [as_col(k).eqNullSafe(as_col(f"__key_{k}")) for k in names]
-        return df.join(F.broadcast(renamed), on, "left").drop(*[f"__key_{k}" for k in names])
+        return df.join(renamed, on, "left").drop(*[f"__key_{k}" for k in names])
 
     # -- operators ---------------------------------------------------------------
 
@@ -145,7 +131,7 @@ class OrderedGroups:
         carry = self._carry([F.sum(e).alias(f"__sum_{n}") for n, e in sums.items()], [earlier(n) for n in sums])
         out = self._with_carry(out, carry)
         total = {n: as_col(n) + F.coalesce(as_col(f"__before_{n}"), F.lit(0)) for n in sums}
-        return out.withColumns(total).drop("__all", "__chunk", *[f"__before_{n}" for n in sums])
+        return out.withColumns(total).drop("__all", "__chunk", "__hot", *[f"__before_{n}" for n in sums])
 
     def position(self, name: str = "position") -> DataFrame:
         """0-based position of each row in its group."""
@@ -157,7 +143,7 @@ class OrderedGroups:
             [lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before")],
         )
         out = self._with_carry(out, carry)
-        return out.withColumn(name, as_col(name) + F.coalesce(F.col("__before"), F.lit(0))).drop("__all", "__chunk", "__before")
+        return out.withColumn(name, as_col(name) + F.coalesce(F.col("__before"), F.lit(0))).drop("__all", "__chunk", "__hot", "__before")
 
     def previous(self, columns: dict[str, str]) -> DataFrame:
         """The previous row's values; ``columns`` maps output name -> source column."""
@@ -165,7 +151,7 @@ class OrderedGroups:
         if not self.hot:
             return self.rows.withColumns(local).drop("__all")
         out = self.rows.withColumns({**local, "__at": F.row_number().over(self.window)})
-        last = self._only_hot(self.rows)
+        last = self.rows.where("__hot")
         down = W.partitionBy(*self._group).orderBy(*[as_col(c).asc_nulls_first() if d else as_col(c).desc_nulls_first() for c, d in self.order])
         last = last.withColumn("__rn", F.row_number().over(down)).where("__rn = 1")
         before = W.partitionBy(*map(as_col, self.keys)).orderBy("__chunk")
@@ -173,7 +159,7 @@ class OrderedGroups:
         out = self._with_carry(out, carry)
         first = F.col("__at") == 1
         fixed = {n: F.when(first, as_col(f"__last_{n}")).otherwise(as_col(n)) for n in columns}
-        return out.withColumns(fixed).drop("__all", "__chunk", "__at", *[f"__last_{n}" for n in columns])
+        return out.withColumns(fixed).drop("__all", "__chunk", "__hot", "__at", *[f"__last_{n}" for n in columns])
 
     def gaps(self, columns: dict[str, str], sign: int = 1, truncate: bool = True) -> DataFrame:
         """Difference to the previous row, 0 where there is none, cut to whole numbers."""

@@ -18,9 +18,10 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
 # Largest table that becomes a map inside the expression, without a join.
 MAP_ROWS = 64
-# A key with more rows than this (or than 1/2000 of all rows) is split over tasks.
+# A key with more rows than this is split over tasks.
 ROWS_PER_TASK = 4_000_000
-MAX_HOT_KEYS = 2_000
+# Hot keys, the largest ones, whose values are broadcast; further ones are joined by salted keys.
+TOP_KEYS = 10_000
 SPREAD = 1_024
 
 
@@ -106,61 +107,83 @@ class SizedTable:
 
 
 class HotKeys:
-    """Keys with more rows than one task should hold, the limit applied, and the largest group.
+    """Keys with more rows than one task should hold, as a written table (keys, __rows), and the largest group.
 
-    The limit is never below 1/MAX_HOT_KEYS of all rows, so there are at most
-    MAX_HOT_KEYS hot keys whatever the data.
+    The limit does not depend on the input.  Only the number of hot keys and the largest size come to the driver.
     """
 
-    def __init__(self, keys: list[str], rows: list[tuple], sizes: list[int], limit: int, largest: int):
-        self.keys, self.rows, self.sizes, self.limit, self.largest = keys, rows, sizes, limit, largest
+    def __init__(self, keys: list[str], table: DataFrame | None, count: int, limit: int, largest: int):
+        self.keys, self.table, self.count, self.limit, self.largest = keys, table, count, limit, largest
 
     def __bool__(self) -> bool:
-        return bool(self.rows)
+        return self.count > 0
 
     @classmethod
     def find(cls, sized: DataFrame, keys: list[str], size: str, rows_per_task: int | None = None) -> HotKeys:
         """``sized`` has one row per key with its row count in column ``size``."""
         limit = rows_per_task or ROWS_PER_TASK
-        largest, total = sized.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
-        limit = max(limit, total // MAX_HOT_KEYS)
-        found = sized.where(F.col(size) > limit).collect() if largest > limit else []
-        return cls(keys, [tuple(r[k] for k in keys) for r in found], [r[size] for r in found], limit, largest)
+        largest, count = sized.agg(F.coalesce(F.max(size), F.lit(0)), F.count_if(F.col(size) > limit)).first()
+        hot = sized.where(F.col(size) > limit).select(*map(as_col, keys), F.col(size).alias("__rows"))
+        return cls(keys, materialise(hot) if count else None, count, limit, largest)
 
     @classmethod
     def of(cls, df: DataFrame, keys: list[str], within: HotKeys | None = None, rows_per_task: int | None = None) -> HotKeys:
         """Hot keys of a table; none can be hot when none of the coarser keys ``within`` is."""
         if within is not None and not within:
-            return cls(keys, [], [], within.limit, within.largest)
+            return cls(keys, None, 0, within.limit, within.largest)
         return cls.find(group_sizes(df, keys), keys, "__rows", rows_per_task)
 
+    def join(self, df: DataFrame, values: DataFrame) -> DataFrame:
+        """Left join (null keys are equal) of a table with one row for each hot key, or some of them.
 
-def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*[as_col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__rows"))
+        The values of the TOP_KEYS largest keys are broadcast.  Any other hot key has at most 1/TOP_KEYS of the rows; its
+        rows are dealt out by key and salt, with as many salts as keep them below the limit, and its values copied to each.
+        """
+        names = [c for c in values.columns if c not in self.keys]
+        near = values.withColumnsRenamed({k: f"__key_{k}" for k in self.keys})
+        on = [as_col(k).eqNullSafe(as_col(f"__key_{k}")) for k in self.keys]
+        keys = [f"__key_{k}" for k in self.keys]
+        if self.count <= TOP_KEYS:
+            return df.join(F.broadcast(near), on, "left").drop(*keys)
+        ranked = self.table.orderBy(F.desc("__rows"), *map(as_col, self.keys))
+        top = materialise(ranked.limit(TOP_KEYS))
+        least = top.agg(F.min("__rows")).first()[0]
+        salts = max(2, -(-least // self.limit))
+        top_keys = top.select(*[as_col(k).alias(f"__top_{k}") for k in self.keys], F.lit(True).alias("__top"))
+        same = [as_col(f"__key_{k}").eqNullSafe(as_col(f"__top_{k}")) for k in self.keys]
+        marked = near.join(F.broadcast(top_keys), same, "left").drop(*[f"__top_{k}" for k in self.keys])
+        # matched by broadcast, rows of the largest keys take salts no other value has, and stay spread
+        first = marked.where("__top").withColumnsRenamed({n: f"__first_{n}" for n in names})
+        out = df.join(F.broadcast(first), on, "left").drop(*keys)
+        task = F.spark_partition_id() % SPREAD
+        out = out.withColumn("__salt", F.when(F.col("__top"), task + salts).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")))
+        rest = marked.where("__top IS NULL").drop("__top").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = out.join(rest, [*on, F.col("__salt") == F.col("__copy")], "left")
+        merged = [F.when(F.col("__top"), as_col(f"__first_{n}")).otherwise(as_col(n)).alias(n) for n in names]
+        return out.select(*[as_col(c) for c in df.columns], *merged)
 
 
-def keyed_frame(spark: SparkSession, df: DataFrame, keys: list[str], rows: list, extra: str) -> DataFrame:
-    """Local table of key values (types taken from df) plus extra columns given as DDL."""
-    ddl = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ([extra] if extra else []))
-    return spark.createDataFrame(rows, ddl)
+def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*[as_col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__rows"))
 
 
 def spread_join(df: DataFrame, table: DataFrame, keys: list[str], values: list[str], hot: HotKeys) -> DataFrame:
     """Left join to a table with one row per key, with the hot keys of df kept off one task.
 
-    Rows of hot keys meet their table rows by broadcast (at most MAX_HOT_KEYS rows) and are
-    then spread by map task instead of by key; all other rows are joined by shuffle.
+    Rows of hot keys meet their table rows as ``HotKeys.join`` has it and are then spread by map task instead of
+    by key; all other rows are joined by shuffle.  NULL keys meet nothing.
     """
     if not hot:
         return df.join(table.select(*[as_col(c) for c in keys + values]), keys, "left")
-    spark = df.sparkSession
-    key_rows = keyed_frame(spark, df, keys, hot.rows, "")
-    hot_table = table.join(F.broadcast(key_rows), keys, "left_semi").select(
+    hot_table = table.join(hot.table.select(*map(as_col, keys)), keys, "left_semi").select(
         *[as_col(c) for c in keys], *[as_col(c).alias(f"__h_{c}") for c in values], F.lit(True).alias("__hot")
     )
     cold = table.select(*[as_col(c) for c in keys + values], F.lit(0).alias("__spread"))
-    left = df.join(F.broadcast(hot_table), keys, "left")
-    salt = F.when(F.col("__hot"), F.lit(1) + F.spark_partition_id() % SPREAD).otherwise(F.lit(0))
+    left = hot.join(df, hot_table)
+    apart = F.coalesce(F.col("__hot"), F.lit(False))
+    for k in keys:
+        apart = apart | as_col(k).isNull()
+    salt = F.when(apart, F.lit(1) + F.spark_partition_id() % SPREAD).otherwise(F.lit(0))
     out = left.withColumn("__spread", salt).join(cold, keys + ["__spread"], "left")
     merged = [F.when(F.col("__hot"), as_col(f"__h_{c}")).otherwise(as_col(c)).alias(c) for c in values]
     return out.select(*[as_col(c) for c in df.columns], *merged)

@@ -60,7 +60,7 @@ def test_distinct_strategies_agree(orders, monkeypatch):
 def test_spread_join(orders):
     stats = orders.groupBy("k").agg(F.max("o_totalprice").alias("top"))
     hot = HotKeys.of(orders, ["k"], rows_per_task=20)
-    assert (7,) in hot.rows
+    assert 7 in [r["k"] for r in hot.table.collect()]
     same(spread_join(orders, stats, ["k"], ["top"], hot), attach_group_values(orders, ["k"], stats))
 
 
@@ -88,3 +88,27 @@ def test_rolling_folds(spark):
         assert sorted(k for k, p in rows if p == "train") == list(range(fold * 3, fold * 3 + 10))
         assert sorted(k for k, p in rows if p == "test") == list(range(fold * 3 + 10, fold * 3 + 13))
     assert out.select("foldId").distinct().count() == 4
+
+
+def test_thousands_of_hot_keys_stay_off_the_driver(spark, monkeypatch):
+    from starloom.operators import tables
+
+    monkeypatch.setattr(tables, "TOP_KEYS", 40)
+    key = F.when(F.col("id") % 9 < 3, F.lit(-1)).when(F.col("id") % 9 == 3, F.lit(None)).otherwise(F.col("id") % 3001).cast("long")
+    df = spark.range(36_000).select(F.col("id").alias("t"), key.alias("k"), (F.col("id") * 7919 % 101).cast("double").alias("x")).repartition(6).cache()
+    collected, real = [], type(df).collect
+
+    def counted(self):
+        rows = real(self)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    whole, split = OrderedGroups(df, ["k"], ["t"]), OrderedGroups(df, ["k"], ["t"], rows_per_task=3)
+    assert split.hot.count > 3_000 and not whole.hot
+    results = [(f(whole), f(split)) for f in (lambda g: g.position(), lambda g: g.previous({"y": "x"}), lambda g: g.running_sum({"s": F.col("x")}))]
+    stats = df.groupBy("k").agg(F.max("x").alias("top"))
+    results.append((df.join(stats, "k", "left"), attach_group_values(df, ["k"], stats, rows_per_task=3)))
+    assert max(collected, default=0) <= 1
+    for a, b in results:
+        same(a, b)
