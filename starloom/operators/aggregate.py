@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from ..functions.semantics import FLOATING, NUMERIC, WHOLE, as_col, differs, pair_corr, skew_g1
 from ..functions.sqltext import literal, name, named
 from .gramian import correlation_pairs
-from .tables import HotKeys, SizedTable, rows_if_small
+from .tables import HotKeys, SizedTable, attach_group_values, group_sizes, materialise, rows_if_small
 
 SIX = ("mean", "std", "min", "max", "sum", "nunique")
 MAX_LEVELS = 10_000
-# Most values (rows x columns) of one group that are kept as sets while counting them.
+# Most values (rows x columns) of one group that are kept as sets while counting them; larger groups are counted apart.
 GROUP_VALUES = 20_000
 
 
@@ -108,6 +108,35 @@ STATISTICS = {
 }
 
 
+def exact_std(column: str) -> str:
+    """SQL of the sample deviation of a whole number of up to 32 bits, the same in whatever order rows are summed.
+
+    Squares are summed in three parts of 21 bits, which hold 2^42 rows, and centred at the truncated mean as whole numbers;
+    only the last division and root round.  Rows of equal values, and shifted ones, have equal deviations.
+    """
+    x = name(column)
+    square = f"(CAST({x} AS BIGINT) * CAST({x} AS BIGINT))"
+    parts = [f"shiftright({square}, 42)", f"(shiftright({square}, 21) & 2097151L)", f"({square} & 2097151L)"]
+    high, middle, low = (f"CAST(sum({part}) AS DECIMAL(38, 0))" for part in parts)
+    squares = f"({high} * 4398046511104 + {middle} * 2097152 + {low})"
+    n, total = f"CAST(count({x}) AS DECIMAL(20, 0))", f"CAST(sum({x}) AS DECIMAL(20, 0))"
+    mean = f"CAST(sum({x}) div nullif(count({x}), 0) AS DECIMAL(10, 0))"
+    rest = f"({total} - {mean} * {n})"
+    centred = f"({squares} - 2 * {mean} * {total} + {n} * {mean} * {mean})"
+    whole = f"CAST(try_subtract(try_multiply({n}, {centred}), {rest} * {rest}) AS DOUBLE) / CAST({n} * ({n} - 1) AS DOUBLE)"
+    rounded = f"(CAST({centred} AS DOUBLE) - CAST({rest} AS DOUBLE) * CAST({rest} AS DOUBLE) / count({x})) / (count({x}) - 1)"
+    return f"CASE WHEN count({x}) > 1 THEN sqrt(coalesce({whole}, {rounded})) END"
+
+
+def large_groups(df: DataFrame, keys: list[str], most: int) -> tuple[HotKeys, bool]:
+    """(groups of more than ``most`` rows, whether there are others); a written table only where there are both."""
+    sizes = group_sizes(df, keys)
+    over = F.col("__rows") > most
+    largest, count, total = sizes.agg(F.coalesce(F.max("__rows"), F.lit(0)), F.count_if(over), F.count(F.lit(1))).first()
+    table = materialise(sizes.where(over)) if 0 < count < total else None
+    return HotKeys(keys, table, count, most, largest), count < total
+
+
 def bulk_stats(
     df: DataFrame,
     keys: list[str],
@@ -118,32 +147,32 @@ def bulk_stats(
     prefix: str = "",
     groups: HotKeys | None = None,
     placed: bool = False,
+    exact: bool = False,
 ) -> DataFrame:
     """Several statistics of every numeric column per key, plus further aggregates.
 
     Columns come out as ``column_stat``.  ``distinct_only`` columns of any type get their
     distinct count alone.  Rows with a NULL key are left out.
 
-    Where even the largest group is small, rows are brought together by key and all
-    statistics, distinct sets included, are taken in one step; ``placed`` says that they
-    already lie together.  Otherwise sums are combined before the shuffle and distinct
-    values are counted as narrow rows.  ``groups`` may give the group sizes if known.
+    Rows of small groups are brought together by key and all statistics, distinct sets included, are taken in one
+    step; ``placed`` says that they already lie together.  Of large groups sums are combined before the shuffle and
+    distinct values counted as narrow rows, whatever the other groups look like.  ``groups`` may give the group sizes
+    if known.  ``exact`` takes deviations of whole numbers of up to 32 bits without regard to the order of rows.
     """
     columns = numeric_columns(df, keys) if columns is None else list(columns)
     rows = df.where(reduce(lambda a, b: a & b, [as_col(k).isNotNull() for k in keys]))
-    plain = {f"{c}_{s}": STATISTICS[s].format(name(c)) for c in columns for s in stats if s != "nunique"}
+    forms = {(c, s): STATISTICS[s].format(name(c)) for c in columns for s in stats if s != "nunique"}
+    if exact:
+        narrow = (T.ByteType, T.ShortType, T.IntegerType)
+        forms |= {(c, s): exact_std(c) for c, s in forms if s == "std" and isinstance(df.schema[c].dataType, narrow)}
+    plain = {f"{c}_{s}": sql for (c, s), sql in forms.items()}
     counted = ([*columns] if "nunique" in stats else []) + list(distinct_only)
     if not plain and not extra:
         plain = {"__n": "count(1)"}
-    if counted:
-        groups = HotKeys.of(rows, keys) if groups is None else groups
-    if counted and groups.largest * len(counted) <= GROUP_VALUES:
-        plain |= {f"{c}_nunique": f"size(collect_set({name(c)}))" for c in counted}
-        out = grouped(rows if placed else rows.repartition(*map(as_col, keys)), keys, plain, extra)
-    else:
+    if not counted:
         out = grouped(rows, keys, plain, extra)
-        if counted:
-            out = out.join(distinct_counts(rows, keys, counted), keys, "left")
+    else:
+        out = _with_distinct(rows, keys, plain, extra, list(dict.fromkeys(counted)), groups, placed)
     order = [f"{c}_{s}" for c in columns for s in stats] + [f"{c}_nunique" for c in distinct_only]
     known = {*order, *keys, "__n"}
     rest = [c for c in out.columns if c not in known]
@@ -152,11 +181,33 @@ def bulk_stats(
     return out.selectExpr(*map(name, keys), *named(picked))
 
 
+def _with_distinct(rows, keys, plain, extra, counted, groups, placed) -> DataFrame:
+    """Statistics and distinct counts: sets for small groups, narrow rows for large ones."""
+
+    def gathered(part: DataFrame, lying: bool) -> DataFrame:
+        sets = {f"{c}_nunique": f"size(collect_set({name(c)}))" for c in counted}
+        return grouped(part if lying else part.repartition(*map(as_col, keys)), keys, plain | sets, extra)
+
+    def narrow(part: DataFrame) -> DataFrame:
+        return grouped(part, keys, plain, extra).join(distinct_counts(part, keys, counted), keys, "left")
+
+    most = GROUP_VALUES // len(counted)
+    if groups is not None and groups.largest <= most:
+        return gathered(rows, placed)
+    large, others = large_groups(rows, keys, most)
+    if not large:
+        return gathered(rows, placed)
+    if not others:
+        return narrow(rows)
+    marked = large.join(rows, large.table.select(*map(as_col, keys), F.lit(True).alias("__large")))
+    return gathered(marked.where("__large IS NULL").drop("__large"), placed).unionByName(narrow(marked.where("__large").drop("__large")))
+
+
 def distinct_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
     """Sorted non-NULL levels of a column that is about to become columns."""
     found = rows_if_small(df.where(as_col(column).isNotNull()).select(as_col(column)).distinct(), limit)
     if found is None:
-        raise ValueError(f"{column} has more than {limit} levels; they cannot become columns")
+        raise ValueError(f"{column} has more than {limit} levels; they cannot become columns, take pivot_long or crosstab_long")
     return sorted(r[0] for r in found)
 
 
@@ -179,6 +230,12 @@ def pivot_counts(
     return rows.groupBy(*[as_col(k) for k in keys]).agg(*level_counts(column, levels, prefix, absent))
 
 
+def pivot_long(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, level, n): the pivot as rows, for any number of levels; NULL levels do not count."""
+    rows = df.where(as_col(column).isNotNull())
+    return rows.groupBy(*[as_col(k) for k in keys], as_col(column).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def two_level(df: DataFrame, keys: list[str], inner: list[str], first: list[Column], then: list[Column]) -> DataFrame:
     """Aggregate per (keys, inner), then aggregate those results per keys."""
     by = [as_col(k) for k in keys]
@@ -241,6 +298,14 @@ def crosstab_shares(df: DataFrame, a: str, b: str, levels: list | None = None) -
     return rows.groupBy(as_col(a)).agg(*shares)
 
 
+def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, level, share): the shares of ``crosstab_shares`` above zero as rows, for any number of levels."""
+    counts = materialise(pivot_long(df.where(as_col(a).isNotNull()), [a], b))
+    totals = counts.groupBy(as_col(a)).agg(F.sum("n").alias("__total"))
+    share = (F.col("n") / F.col("__total")).alias("share")
+    return attach_group_values(counts, [a], totals).select(as_col(a), "level", share)
+
+
 # -- whole table ----------------------------------------------------------------
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sqltext
 from ..functions.semantics import as_col, flag
@@ -32,8 +34,13 @@ class Ordinal:
 
 @dataclass
 class OneHot:
-    """One 0/1 column per level; a single column when there are exactly two levels."""
+    """One 0/1 column per level; a single column when there are exactly two levels.
 
+    ``sparse`` gives one sparse vector instead, as long as the levels are many, without any limit on them; its places
+    are the levels in order, and an unseen level is the zero vector.
+    """
+
+    sparse: bool = False
     suffix = "LabelBinarizer"
 
 
@@ -196,6 +203,9 @@ def _fit_rows(encoder, rows: list[tuple], name: str, tables: dict[str, SizedTabl
     if isinstance(encoder, Ordinal):
         codes = [(str(k), int(v)) for k, v in encoder.mapping.items()] if encoder.mapping is not None else [(v, i) for i, v in enumerate(levels)]
         tables[name] = SizedTable.from_rows(spark, codes, "level string, code bigint")
+    elif isinstance(encoder, OneHot) and encoder.sparse:
+        plan["size"] = len(levels)
+        tables[name] = SizedTable.from_rows(spark, [(v, i) for i, v in enumerate(levels)], "level string, code bigint")
     elif isinstance(encoder, OneHot):
         check_levels(len(levels))
         plan["levels"] = levels
@@ -207,9 +217,16 @@ def _fit_rows(encoder, rows: list[tuple], name: str, tables: dict[str, SizedTabl
     return plan
 
 
+def sparse_unit(code: str, size: int) -> Column:
+    """Spark ML's sparse vector with a one at the place ``code``, or the zero vector for NULL; made in the JVM."""
+    at, value = F.coalesce(as_col(code).cast("string"), F.lit("")), F.when(as_col(code).isNotNull(), F.lit("1.0")).otherwise(F.lit(""))
+    text = F.concat(F.lit(f'{{"v":{{"type":0,"size":{size},"indices":['), at, F.lit('],"values":['), value, F.lit("]}}"))
+    return F.from_json(text, T.StructType([T.StructField("v", VectorUDT())]))["v"]
+
+
 def check_levels(n: int) -> None:
     if n > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels cannot become columns")
+        raise ValueError(f"more than {MAX_LEVELS} levels cannot become columns, take OneHot(sparse=True)")
 
 
 def check_threshold(threshold: int | float) -> bool:
@@ -237,6 +254,9 @@ def _fit_levels(encoder, levels: DataFrame, name: str, tables: dict[str, SizedTa
             tables[name] = SizedTable.from_rows(levels.sparkSession, rows, "level string, code bigint")
         else:
             tables[name] = ordinal_codes(levels)
+    elif isinstance(encoder, OneHot) and encoder.sparse:
+        tables[name] = ordinal_codes(levels)
+        plan["size"] = tables[name].df.count()
     elif isinstance(encoder, OneHot):
         found = rows_if_small(levels.select("level"), MAX_LEVELS)
         check_levels(MAX_LEVELS + 1 if found is None else len(found))
@@ -277,6 +297,10 @@ class CategoricalEncoderModel(FittedStage):
             df = df.withColumn(source, F.coalesce(as_col(source), F.lit(encoder.other)))
             encoder = encoder.inner
         out = f"{c}_{outer.suffix}"
+        if isinstance(encoder, OneHot) and encoder.sparse:
+            code = f"__code_{name}"
+            df = self.tables[name].lookup(df, {source: "level"}, {"code": code})
+            return df.withColumn(out, sparse_unit(code, plan["size"])).drop(code), [out]
         if isinstance(encoder, OneHot):
             levels = plan["levels"]
             if len(levels) <= 2:

@@ -96,7 +96,7 @@ def _encoder(df: DataFrame, encoders: dict, drop: bool):
 def bureau_balance_features(balance: DataFrame) -> DataFrame:
     """Per bureau credit: statistics of numbers, distinct strings, rows per status."""
     status = level_counts("STATUS", BALANCE_STATUS, "STATUS_", absent=None)
-    stats = bulk_stats(balance, [BUREAU], extra=status, distinct_only=string_columns(balance))
+    stats = bulk_stats(balance, [BUREAU], extra=status, distinct_only=string_columns(balance), exact=True)
     return prefixed(stats, "bureau_balance_", [BUREAU])
 
 

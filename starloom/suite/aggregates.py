@@ -227,6 +227,22 @@ def crosstab_norm(spark, sf):
     return A.crosstab_shares(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
+@query("pivot_long", "select l_suppkey, l_partkey as level, count(*) as n from lineitem where l_partkey is not null group by 1, 2")
+def pivot_long(spark, sf):
+    """Every part a supplier delivered is a level."""
+    return A.pivot_long(table(spark, sf, "lineitem"), ["l_suppkey"], "l_partkey")
+
+
+@query(
+    "crosstab_long",
+    """select l_returnflag, l_partkey as level, count(*)::double / sum(count(*)) over (partition by l_returnflag) as share
+    from lineitem where l_returnflag is not null and l_partkey is not null group by 1, 2""",
+    "share",
+)
+def crosstab_long(spark, sf):
+    return A.crosstab_long(table(spark, sf, "lineitem"), "l_returnflag", "l_partkey")
+
+
 PAIRS = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1 :]]
 PAIR_SQL = " union all ".join(f"select '{a}' as feature_1, '{b}' as feature_2, corr({a}, {b}) as correlation from {NULLED}" for a, b in PAIRS)
 

@@ -92,6 +92,21 @@ def one_hot(spark, sf):
     return out.withColumnRenamed("first_LabelBinarizer", "first_brand")
 
 
+@query(
+    "one_hot_sparse",
+    """with c as (select p_name, row_number() over (order by p_name) - 1 as code, count(*) over () as size
+    from (select distinct coalesce(p_name, 'NA') as p_name from part))
+    select p_partkey, size::int as size, code::int as place, 1.0::double as value from part p join c on c.p_name = coalesce(p.p_name, 'NA')""",
+    "value",
+)
+def one_hot_sparse(spark, sf):
+    """Every name of a part is a place of one sparse vector."""
+    df = table(spark, sf, "part").select("p_partkey", "p_name")
+    out = CategoricalEncoder(["p_name"], [OneHot(sparse=True)]).fit(df).transform(df)
+    vector = F.unwrap_udt("p_name_LabelBinarizer")
+    return out.select("p_partkey", vector["size"].alias("size"), vector["indices"][0].alias("place"), vector["values"][0].alias("value"))
+
+
 @query(
     "multi_encode",
     f"""with m as (select coalesce(p_brand, 'NA') as b, avg(p_size)::double as mean from {PART} group by 1),
