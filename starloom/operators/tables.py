@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -35,16 +38,73 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="starloom-")
 
 
+class OwnedTables:
+    """The tables written while a job runs; they go when it ends, but for those kept."""
+
+    def __init__(self, outer: OwnedTables | None):
+        self.outer, self.paths = outer, []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Hand tables over to the job around this one, or to the caller where there is none."""
+        for df in tables:
+            path = getattr(df, "_written", None)
+            if path in self.paths:
+                self.paths.remove(path)
+                if self.outer is not None:
+                    self.outer.paths.append(path)
+
+
+_OWNER: ContextVar[OwnedTables | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[OwnedTables]:
+    """Every ``materialise`` inside belongs to this job, and is deleted at its end, also after an error.
+
+    Nothing goes before the end, so tasks repeated after the loss of an executor find what they read.  Whatever is
+    returned must not read a table that was not kept.  Threads take part if they run in a copy of the context.
+    """
+    owner = OwnedTables(_OWNER.get())
+    token = _OWNER.set(owner)
+    try:
+        yield owner
+    finally:
+        _OWNER.reset(token)
+        for path in owner.paths:
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read any more."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path is not None:
+            delete_folder(df.sparkSession, path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows once, as Parquet in the shared folder, and go on from there."""
+    """Write the rows once, as Parquet in the shared folder, and go on from there.
+
+    The table belongs to the job it is written in (``owned_tables``), or to the caller.
+    """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))  # one folder for the session
     path = f"{checkpoint_folder(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
     # column names of Parquet may not clash or hold some signs that names of features do
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.paths.append(path)
     plain.write.parquet(path)
-    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    out = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    out._written = path
+    return out
 
 
 def rows_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, *, most_bytes: int = BROADCAST_BYTES) -> list | None:

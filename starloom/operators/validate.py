@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,7 +14,7 @@ from ..functions.semantics import as_col, hash_bucket, md5_of
 from .aggregate import metric_summary
 from .model import r2_percent, roc_auc
 from .ordered import OrderedGroups, hash_ordered_position
-from .tables import materialise
+from .tables import materialise, owned_tables
 
 
 def random_folds(df: DataFrame, key: str, k: int, seed=0, label: str | None = None, name: str = "fold") -> DataFrame:
@@ -130,8 +131,22 @@ def cross_validate(
     """Fit every model on every fold and keep its predictions on the rows left out.
 
     ``rolling`` = (order, train rows, test rows) replaces random folds by time windows.
-    Folds are a column of one written table; a few driver threads overlap their jobs.
+    Folds are a column of one written table; a few driver threads overlap their jobs.  Of the tables written, only the
+    predictions stay.
     """
+    with owned_tables(df.sparkSession) as owned:
+        predictions, notes = _fold_predictions(models, df, key, label, k, seeds, stratified, rolling, parallelism)
+        owned.keep(predictions)
+    by = ["modelName", "mcSeed", "foldId"]
+    notes = df.sparkSession.createDataFrame(notes, "modelName string, mcSeed int, foldId int, modelIterations int")
+    statistics = fold_metrics(predictions, by, "label", metrics).join(F.broadcast(notes), by, "left")
+    summary = metric_summary(statistics, ["modelName"], list(metrics))
+    whole = fold_metrics(predictions, by[:2], "label", metrics)
+    return CrossValidation(predictions, statistics, summary, whole)
+
+
+def _fold_predictions(models, df, key, label, k, seeds, stratified, rolling, parallelism) -> tuple[DataFrame, list[tuple]]:
+    """(predictions of all models on all folds as one written table, rounds each took)."""
     if rolling:
         order, train_rows, test_rows = rolling
         placed = materialise(rolling_positions(df, order, "__at").withColumn("mcSeed", F.lit(0)))
@@ -160,12 +175,7 @@ def cross_validate(
         )
         return out, (name, seed, fold, iterations)
 
+    tasks = [(m, f) for m in models for f in folds]
     with ThreadPoolExecutor(parallelism) as pool:
-        done = list(pool.map(run, [(m, f) for m in models for f in folds]))
-    predictions = materialise(reduce(DataFrame.unionByName, [d[0] for d in done]))
-    by = ["modelName", "mcSeed", "foldId"]
-    notes = df.sparkSession.createDataFrame([d[1] for d in done], "modelName string, mcSeed int, foldId int, modelIterations int")
-    statistics = fold_metrics(predictions, by, "label", metrics).join(F.broadcast(notes), by, "left")
-    summary = metric_summary(statistics, ["modelName"], list(metrics))
-    whole = fold_metrics(predictions, by[:2], "label", metrics)
-    return CrossValidation(predictions, statistics, summary, whole)
+        done = [job.result() for job in [pool.submit(copy_context().run, run, task) for task in tasks]]
+    return materialise(reduce(DataFrame.unionByName, [d[0] for d in done])), [d[1] for d in done]

@@ -11,7 +11,7 @@ from ..operators.encode import CategoricalEncoder, Grouping, OneHot, Ordinal, Ta
 from ..operators.impute import MissingValuesImputer
 from ..operators.model import BoostedTrees, roc_auc
 from ..operators.select import ImportanceSelect, VarianceSelect
-from ..operators.tables import materialise
+from ..operators.tables import discard, materialise, owned_tables
 from ..operators.validate import train_test_split
 from ..session import tuned
 from ..sources.tables import write_features, write_predictions, write_report
@@ -50,6 +50,10 @@ class CreditRun:
     importance: DataFrame
     auc: float | None
 
+    def discard(self) -> None:
+        """Delete the written predictions; whatever was put out stays."""
+        discard(self.predictions)
+
 
 def application_stages(columns: list[str], label: str = "TARGET", rounds: int = 20, select_threshold: float = 0.762, **trees) -> list:
     """Imputation, encoding, selection and the model, for the columns the table has."""
@@ -74,24 +78,31 @@ def run(
     rounds: int = 20,
     **trees,
 ) -> CreditRun:
-    """Train on ``train`` and score ``test``; without a test table a fifth is held out and the AUC given."""
-    tuned(train.sparkSession)
+    """Train on ``train`` and score ``test``; without a test table a fifth is held out and the AUC given.
+
+    Tables written on the way are deleted at the end; the predictions and what the fitted steps look up stay.
+    """
+    spark = train.sparkSession
+    tuned(spark)
     validate = test is None
-    if validate:
-        train, test = train_test_split(train, CUSTOMER)
-    target = train.select(CUSTOMER, F.col(label).alias("target"))
-    children = child_features(tables, target)
-    if output:
-        write_features(children, f"{output}/features")
-    features = ApplicationFeatures().with_children(children).fit(train)
-    rows = materialise(features.transform(train))
-    stages = application_stages(rows.columns, label, rounds, **trees)
-    pipeline = StagedPipeline(stages, folder).fit(rows)
-    scored = pipeline.predict(features.transform(test))
-    predictions = materialise(scored.select(CUSTOMER, *([label] if validate else []), "prediction"))
-    auc = roc_auc(predictions, label, "prediction").first()["auc"] if validate else None
-    importance = pipeline.model.stages[-1].feature_importance(rows.sparkSession)
-    if output:
-        write_predictions(predictions, f"{output}/predictions")
-        write_report(importance, f"{output}/importance")
+    with owned_tables(spark) as owned:
+        if validate:
+            train, test = train_test_split(train, CUSTOMER)
+        target = train.select(CUSTOMER, F.col(label).alias("target"))
+        children = child_features(tables, target)
+        if output:
+            write_features(children, f"{output}/features")
+        features = ApplicationFeatures().with_children(children).fit(train)
+        rows = materialise(features.transform(train))
+        stages = application_stages(rows.columns, label, rounds, **trees)
+        pipeline = StagedPipeline(stages, folder).fit(rows)
+        scored = pipeline.predict(features.transform(test))
+        predictions = materialise(scored.select(CUSTOMER, *([label] if validate else []), "prediction"))
+        auc = roc_auc(predictions, label, "prediction").first()["auc"] if validate else None
+        importance = pipeline.model.stages[-1].feature_importance(spark)
+        if output:
+            write_predictions(predictions, f"{output}/predictions")
+            write_report(importance, f"{output}/importance")
+        looked_up = [t.df for stage in pipeline.model.stages for t in getattr(stage, "tables", {}).values()]
+        owned.keep(predictions, *looked_up)
     return CreditRun(pipeline, predictions, importance, auc)

@@ -4,27 +4,38 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.semantics import as_col, nan_to_null
+from ..operators.tables import rows_if_small
 from .schemas import FILES, csv_header, schema_for
 
 
 def read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None) -> DataFrame:
     """CSV with a header and fixed types; whole numbers written as "12.0" are read as well.
 
-    Empty fields and NaN are NULL.
+    Empty fields and NaN are NULL.  A 64-bit number, as keys are, that is not whole or not a number is an error.
     """
     header = csv_header(spark, path)
     schema = schema_for(header, types)
-    # Integer columns with gaps are often written with a decimal point: read them wide first.
-    wide = T.StructType(
-        [T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, T.IntegerType) else f.dataType) for f in schema.fields]
-    )
-    raw = spark.read.option("header", True).option("nanValue", "NaN").schema(wide).csv(path)
-    return nan_to_null(raw).select(*[as_col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    # Integer columns with gaps are often written with a decimal point: read them wide first, keys as exact text.
+    read_as = {T.IntegerType: T.DoubleType(), T.LongType: T.StringType()}
+    wide = T.StructType([T.StructField(f.name, read_as.get(type(f.dataType), f.dataType)) for f in schema.fields])
+    raw = nan_to_null(spark.read.option("header", True).option("nanValue", "NaN").schema(wide).csv(path))
+    typed = {f.name: whole_key(f.name) if isinstance(f.dataType, T.LongType) else as_col(f.name).cast(f.dataType) for f in schema.fields}
+    return raw.select(*[c.alias(n) for n, c in typed.items()])
+
+
+def whole_key(column: str) -> Column:
+    """Text as a 64-bit whole number; NULL only for an empty field or NaN."""
+    text = F.trim(as_col(column))
+    number = text.try_cast("decimal(38,18)")
+    whole = F.coalesce(text.try_cast("bigint"), F.when(number == F.floor(number), F.floor(number).try_cast("bigint")))
+    blank = text.isNull() | (text == "") | (F.lower(text) == "nan")
+    wrong = F.raise_error(F.concat(F.lit(f"{column} is not a whole number: "), text))
+    return F.when(blank, F.lit(None).cast("bigint")).when(whole.isNotNull(), whole).otherwise(wrong.cast("bigint"))
 
 
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +110,11 @@ def write_predictions(df: DataFrame, path: str, key: str = "SK_ID_CURR", name: s
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small table (importance, statistics) as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A table (importance, statistics) as CSV: one file if its checked size is small, else one for each partition."""
+    rows = rows_if_small(df)
+    if rows is not None:
+        df = df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_cross_validation(result, folder: str) -> None:
