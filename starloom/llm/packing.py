@@ -30,8 +30,9 @@ DIMENSIONS = 4
 GRID_BITS = 12
 #: Hashed features of a token id.
 FEATURES = 1 << 16
-#: Tokens of one range of the curve.
-RANGE_TOKENS = 6_000_000
+#: Tokens of one range of the curve, and the most ranges: beyond 3 * 10^11 tokens ranges grow (their sort spills), so that
+#: the bounds and offsets of all ranges, 24 bytes each, stay a small table at any input.
+RANGE_TOKENS, MAX_RANGES = 6_000_000, 50_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -120,9 +121,9 @@ def pack_documents(df: DataFrame, tokenizer: str, length: int = 2048, end: int =
     """
     tokens = tokenised(df, tokenizer, end, doc_id, text)
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_TOKENS))
+    ranges = min(MAX_RANGES, max(1, -(-total // RANGE_TOKENS)))
     placed = tokens.select("key", "row").repartitionByRange(ranges, "key", "row")
-    # one row for each range comes to the driver
+    # one row for each range, MAX_RANGES at most, comes to the driver
     bounds = sorted((r["b"]["key"], r["b"]["row"]) for r in placed.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("key", "row")).alias("b")).collect())
     edges = _sortable(np.array([k for k, _ in bounds[1:]], np.int64), np.array([r for _, r in bounds[1:]], np.int64)) if len(bounds) > 1 else np.zeros(0, "S16")
 
@@ -163,7 +164,7 @@ def pack_documents(df: DataFrame, tokenizer: str, length: int = 2048, end: int =
             if out:
                 yield _pieces(batch, keep, start, size, sequence, offset, out)
 
-    sorted_ = ranged(tokens).repartition(ranges, "range").sortWithinPartitions("range", "key", "row")
+    sorted_ = ranged(tokens).repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "key", "row")
     schema = T.StructType(
         [tokens.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("start", "length")), T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))]
     )
