@@ -15,6 +15,8 @@ Every row is a document of its own.  Null texts are empty: only the end id.  Nul
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,6 +32,8 @@ DIMENSIONS = 4
 GRID_BITS = 12
 #: Hashed features of a token id.
 FEATURES = 1 << 16
+#: Ids below this have their weights in a table.
+TABLE = 1 << 20
 #: Tokens of one range of the curve, and the most ranges: beyond 3 * 10^11 tokens ranges grow (their sort spills), so that
 #: the bounds and offsets of all ranges, 24 bytes each, stay a small table at any input.
 RANGE_TOKENS, MAX_RANGES = 6_000_000, 50_000
@@ -71,15 +75,28 @@ def _signs() -> np.ndarray:
 SIGNS = _signs()
 
 
-def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Hilbert key of each document's hashed token vector.  Ids count by the log of their rank: common pieces have low ids."""
+def weights(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared weight, signed weight in each dimension) of ids, which count by the log of their rank: common pieces have low ids."""
     weight = np.log1p(ids).astype(np.float32)
     feature = (mix(ids, 98) % U64(FEATURES)).astype(np.int64)
+    return weight * weight, SIGNS[feature].T * weight
+
+
+@cache
+def weight_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return weights(np.arange(size, dtype=np.uint32))
+
+
+def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hilbert key of each document's hashed token vector; weights of usual vocabularies come from a table."""
     first = np.cumsum(counts) - counts
-    norm = np.sqrt(np.add.reduceat(weight * weight, first))
+    size = 1 << int(ids.max(initial=0)).bit_length()
+    squares, signed = weight_table(size) if size <= TABLE else weights(ids)
+    at = ids if size <= TABLE else slice(None)
+    norm = np.sqrt(np.add.reduceat(squares[at], first))
     places = []
     for d in range(DIMENSIONS):
-        total = np.add.reduceat(SIGNS[feature, d] * weight, first) / np.maximum(norm, 1e-6)
+        total = np.add.reduceat(signed[d][at], first) / np.maximum(norm, 1e-6)
         # spread over the grid: the projection of n tokens is of the size of sqrt(n)
         places.append((np.tanh(total / 16) + 1) / 2)
     top = (1 << GRID_BITS) - 1

@@ -126,3 +126,25 @@ def test_neighbours_on_the_curve_are_alike(spark, folder):
     rng = np.random.default_rng(0)
     mixed = np.mean([np.mean([a == b for a, b in zip(x[:-1], x[1:], strict=True)]) for x in (rng.permutation(order) for _ in range(20))])
     assert np.mean([a == b for a, b in zip(order[:-1], order[1:], strict=True)]) > mixed + 0.1
+
+
+def test_weights_of_a_table_are_those_of_the_ids():
+    draw = np.random.default_rng(7)
+    ids = draw.integers(1, 50_000, 3_000).astype(np.uint32)
+    counts = np.array([1, 999, 2_000])
+    keys = packing.curve_keys(ids, counts)
+    for i, part in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+        assert packing.curve_keys(part, counts[i : i + 1])[0] == keys[i]
+    squares, signed = packing.weights(ids)
+    table = packing.weight_table(1 << 16)
+    assert (table[0][ids] == squares).all() and (table[1][:, ids] == signed).all()
+
+
+def test_ranges_are_bounded(spark, folder, monkeypatch):
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = lambda: sorted((r["doc_id"], r["start"], r["sequence_id"], r["offset"]) for r in packing.pack_documents(documents, path).collect())
+    one = ids()
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 100)
+    monkeypatch.setattr(packing, "MAX_RANGES", 5)
+    assert ids() == one
